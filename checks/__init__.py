@@ -1,5 +1,5 @@
 """Registered queries with their DuckDB twins."""
 
-from . import extract
+from . import extract, pricing
 
-MODULES = [extract]
+MODULES = [extract, pricing]

@@ -9,8 +9,8 @@ MONEY = "decimal(18,2)"
 
 
 def to_cents(amount: Column) -> Column:
-    """Cents of a decimal or double amount, rounded half up."""
-    return F.round(amount * F.lit(100)).cast("bigint")
+    """Whole cents of an amount, rounded half up; exact for amounts below 10^13."""
+    return F.round(amount.cast("double") * F.lit(100)).cast("bigint")
 
 
 def from_cents(cents: Column) -> Column:
