@@ -1,5 +1,5 @@
 """Registered queries with their DuckDB twins."""
 
-from . import extract, pricing
+from . import extract, pricing, weighting
 
-MODULES = [extract, pricing]
+MODULES = [extract, pricing, weighting]

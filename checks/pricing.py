@@ -9,6 +9,7 @@ from quotecurve.operators import elasticity as ela
 from quotecurve.operators import prepare as prep
 from quotecurve.operators.ranks import percentile_ranks
 from quotecurve.plans.extract import sales_input
+from quotecurve.session import materialise
 from quotecurve.sources import retail
 
 from .base import compose, cte
@@ -73,7 +74,8 @@ FROM thick
 
 @lru_cache
 def sales(spark, folder):
-    return sales_input(spark, folder)
+    """Event-labelled sales of the whole history, written once for all checks of a session."""
+    return materialise(sales_input(spark, folder), "sales")
 
 
 @lru_cache
@@ -81,15 +83,21 @@ def labelled(spark, folder):
     return prep.with_products(sales(spark, folder), retail.products(spark, folder))
 
 
+@lru_cache
+def weekly_rows(spark, folder):
+    return materialise(prep.roll_up(labelled(spark, folder)), "weekly")
+
+
 @lru_cache
 def thick_rows(spark, folder):
-    """Weekly rows of all products."""
-    return prep.prepare(sales(spark, folder), retail.products(spark, folder), top_n=None)
+    """Weekly rows of all products, thin weeks dropped."""
+    return prep.drop_thin_periods(weekly_rows(spark, folder))
 
 
 @lru_cache
 def prepared_rows(spark, folder):
-    return prep.prepare(sales(spark, folder), retail.products(spark, folder))
+    """Weekly rows of the top products, thin weeks dropped."""
+    return prep.drop_thin_periods(prep.keep_top_products(weekly_rows(spark, folder)))
 
 
 PERIOD = """item_id, product, event_name, {keys}, period_start, shipped_units, revenue_cents / 100.0::DOUBLE AS revenue,

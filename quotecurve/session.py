@@ -1,6 +1,7 @@
 """Session settings for tests and the bench, and lineage cuts for iterative jobs."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,3 +43,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the frame to the checkpoint folder and continue from there."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write the frame as a table under the checkpoint folder and read it back.
+
+    For a frame that several later steps read: it is computed once, survives lost
+    executors, and keeps column pruning and filter pushdown.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
