@@ -1,5 +1,5 @@
 """Registered queries with their DuckDB twins."""
 
-from . import extract, pricing, weighting
+from . import decisions, extract, pricing, weighting
 
-MODULES = [extract, pricing, weighting]
+MODULES = [extract, pricing, weighting, decisions]

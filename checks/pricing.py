@@ -53,7 +53,7 @@ SELECT s.*, coalesce(upper(p.tag || ' ' || p.variation), s.item_id) AS product,
 FROM sales s LEFT JOIN products p USING (item_id)
 """,
 )
-_roll("weekly", "year, week, month", "CAST(date_trunc('week', order_date) AS DATE)")
+_roll("weekly", "year, week, month", "greatest(CAST(date_trunc('week', order_date) AS DATE), CAST(date_trunc('month', order_date) AS DATE))")
 _roll("monthly", "year, month", "CAST(date_trunc('month', order_date) AS DATE)")
 _roll("daily", "year, week, month, day", "order_date")
 cte("thick", "SELECT * FROM weekly WHERE shipped_units >= 5")

@@ -23,7 +23,7 @@ def period_columns(day: Column, granularity: str) -> dict[str, Column]:
     week = F.weekofyear(day)
     if granularity == "weekly":
         keys = {"year": year, "week": week, "month": month}
-        start = F.trunc(day, "week")
+        start = F.greatest(F.trunc(day, "week"), F.trunc(day, "month"))
     elif granularity == "monthly":
         keys = {"year": year, "month": month}
         start = F.trunc(day, "month")
