@@ -1,5 +1,5 @@
 """Registered queries with their DuckDB twins."""
 
-from . import decisions, extract, pricing, weighting
+from . import decisions, extract, models, pricing, weighting
 
-MODULES = [extract, pricing, weighting, decisions]
+MODULES = [extract, pricing, weighting, decisions, models]

@@ -60,6 +60,12 @@ def best(spark, folder):
     return ch.best_expected(curve(spark, folder))
 
 
+# A mean of cents can lie exactly between two roundings; its root does not, so means are
+# compared by square or cube root.
+def rooted(df):
+    return df.withColumn("value", F.round(F.sqrt("value"), 6))
+
+
 def rounded(df, **places):
     return df.select(*[F.round(c, places[c]).alias(c) if c in places else F.col(c) for c in df.columns])
 
@@ -181,10 +187,10 @@ def positive(spark, folder):
 
 @check(
     "a19_mean_score_by_price",
-    "SELECT product, price, round(avg(score), 4) AS value FROM curve GROUP BY product, price",
+    "SELECT product, price, round(sqrt(avg(score)), 6) AS value FROM curve GROUP BY product, price",
 )
 def mean_scores(spark, folder):
-    return rounded(ch.price_means(ch.with_score(curve(spark, folder))), value=4)
+    return rooted(ch.price_means(ch.with_score(curve(spark, folder))))
 
 
 def _points(spark, folder):
@@ -192,19 +198,20 @@ def _points(spark, folder):
     return ch.price_means(rows)
 
 
-@check("w06_marginal_revenue", "SELECT product, price, round(slope, 3) AS slope FROM slopes_at")
+@check("w06_marginal_revenue", "SELECT product, price, round(cbrt(slope), 5) AS slope FROM slopes_at")
 def marginal(spark, folder):
-    return rounded(ch.marginal_revenue(_points(spark, folder)).select("product", "price", "slope"), slope=3)
+    rows = ch.marginal_revenue(_points(spark, folder))
+    return rows.select("product", "price", F.round(F.cbrt("slope"), 5).alias("slope"))
 
 
-@check("w06_stable_points", "SELECT product, price, round(value, 4) AS value FROM stable")
+@check("w06_stable_points", "SELECT product, price, round(sqrt(value), 6) AS value FROM stable")
 def stable(spark, folder):
-    return rounded(ch.stable_points(_points(spark, folder)), value=4)
+    return rooted(ch.stable_points(_points(spark, folder)))
 
 
-@check("w07_price_frontier", "SELECT product, price, round(value, 4) AS value FROM front")
+@check("w07_price_frontier", "SELECT product, price, round(sqrt(value), 6) AS value FROM front")
 def price_frontier(spark, folder):
-    return rounded(ch.frontier(ch.stable_points(_points(spark, folder))), value=4)
+    return rooted(ch.frontier(ch.stable_points(_points(spark, folder))))
 
 
 @check(
@@ -655,12 +662,12 @@ def value_points(spark, folder):
 
 @check(
     "w10_rolling_median",
-    """SELECT product, price, round(CASE WHEN n < 5 THEN value ELSE med END, 4) AS value FROM (
+    """SELECT product, price, round(sqrt(CASE WHEN n < 5 THEN value ELSE med END), 6) AS value FROM (
 SELECT *, quantile_cont(value, 0.5) OVER (PARTITION BY product ORDER BY price ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS med,
 count(*) OVER (PARTITION BY product) AS n FROM value_points)""",
 )
 def rolling_median(spark, folder):
-    return rounded(shp.rolling_median(value_points(spark, folder), "value", 5), value=4)
+    return rooted(shp.rolling_median(value_points(spark, folder), "value", 5))
 
 
 cte(
@@ -672,14 +679,14 @@ FROM (SELECT product, cents / 100.0::DOUBLE AS price, avg(revenue_cents / 100.0:
 
 @check(
     "w13_monotone_curve",
-    """SELECT product, price, round(min(inner_max), 4) AS value FROM (
+    """SELECT product, price, round(sqrt(min(inner_max)), 6) AS value FROM (
   SELECT p.product, p.price, a.i AS lo, max((b.cum - a.cum + a.value) / (b.i - a.i + 1)) AS inner_max
   FROM ranked_top p JOIN ranked_top a ON a.product = p.product AND a.i <= p.i
   JOIN ranked_top b ON b.product = p.product AND b.i >= p.i GROUP BY ALL) GROUP BY product, price""",
 )
 def monotone(spark, folder):
     points = ch.price_means(observed_curve(prepared_rows(spark, folder)), "revenue_p50")
-    return rounded(shp.monotone_curve(points, "value"), value=4)
+    return rooted(shp.monotone_curve(points, "value"))
 
 
 
