@@ -62,7 +62,11 @@ cte(
     "bin_edges",
     "SELECT product, list_distinct(quantile_cont(price, [i / 20.0::DOUBLE for i in range(21)])) AS q FROM unit_rows GROUP BY product",
 )
-_MEANS = """round(sum(w * price) / sum(w), 6) AS price, round(sum(w * y) / sum(w), 6) AS target, round(sum(w), 6) AS weight"""
+_MEANS = """round(sqrt(sum(w * price) / sum(w)), 7) AS price, round(sqrt(sum(w * y) / sum(w)), 7) AS target, sum(w) AS weight"""
+
+
+def _bin_roots(df):
+    return df.withColumns({c: F.round(F.sqrt(c), 7) for c in ("price", "target")})
 
 
 @check(
@@ -73,7 +77,7 @@ FROM unit_rows u, (SELECT list_sort(list_distinct(quantile_cont(price, [i / 20.0
 )
 def price_bins(spark, folder):
     rows = thick_rows(spark, folder).withColumn("weight", F.lit(1.0) + F.col("shipped_units") % 3)
-    return rounded(tun.price_bins(rows), price=6, target=6, weight=6)
+    return _bin_roots(tun.price_bins(rows))
 
 
 @check(
@@ -83,7 +87,7 @@ SELECT u.*, len(list_filter(list_sort(e.q)[2:-2], lambda x: x <= u.price)) AS bi
 )
 def price_bins_by_product(spark, folder):
     rows = thick_rows(spark, folder).withColumn("weight", F.lit(1.0) + F.col("shipped_units") % 3)
-    return rounded(tun.price_bins(rows, by="product"), price=6, target=6, weight=6)
+    return _bin_roots(tun.price_bins(rows, by="product"))
 
 
 @check(

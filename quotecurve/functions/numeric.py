@@ -24,11 +24,13 @@ def nonneg(x: Column) -> Column:
 
 
 def log1p_floor(x: Column) -> Column:
-    return F.log1p(F.greatest(x, F.lit(0.0)))
+    """ln(1+x) with negatives taken as 0; a missing value stays missing."""
+    return F.when(x.isNotNull(), F.log1p(F.greatest(x, F.lit(0.0))))
 
 
 def expm1_floor(x: Column) -> Column:
-    return F.greatest(F.expm1(x), F.lit(0.0))
+    """exp(x)-1, not below 0; a missing value stays missing."""
+    return F.when(x.isNotNull(), F.greatest(F.expm1(x), F.lit(0.0)))
 
 
 def softplus(x: Column) -> Column:

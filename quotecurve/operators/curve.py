@@ -5,13 +5,15 @@ event term. Rows only ever add to sums of their spline cell; the small linear sy
 product is solved from those sums. So a product may own any share of the rows.
 """
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import expm1_floor, log1p_floor, usable_weight
-from ..session import cut_lineage
+from ..session import cut_lineage, materialise
 from .joins import salted_join
 
 # Fixed values of the fit.
@@ -28,6 +30,7 @@ _TOLERANCE = 1e-6
 _RIDGE = 1e-8
 _TERMS = 5  # four spline weights and the event term
 _PAIRS = [(i, j) for i in range(_TERMS) for j in range(i, _TERMS)]
+_UPPER = np.triu_indices(_TERMS)
 
 MODEL_SCHEMA = (
     "product string, q double, lo double, hi double, n_splines int, beta array<double>, event_coef double, status string"
@@ -73,7 +76,8 @@ def training_points(rows: DataFrame, weight: str | None = "weight", by: str = "p
         log1p_floor(F.col("shipped_units").cast("double")).alias("y"),
         w.alias("w"),
     )
-    return keyed.groupBy(by, "x", "e", "y").agg(F.sum("w").alias("w"))
+    complete = keyed.dropna(subset=[by, "x", "y"])
+    return complete.groupBy(by, "x", "e", "y").agg(F.sum("w").alias("w"))
 
 
 def curve_ranges(points: DataFrame, n_splines: int | None = None, by: str = "product") -> DataFrame:
@@ -84,30 +88,31 @@ def curve_ranges(points: DataFrame, n_splines: int | None = None, by: str = "pro
     return ranges.withColumn("n_splines", count.cast("int"))
 
 
-def _solver(by: str, smoothing: float, event_penalty: float):
-    """Solve each (group, expectile) from its cell sums; at most n_splines rows go in."""
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.iloc[0]
-        ns = int(first["n_splines"])
-        a = np.zeros((ns + 1, ns + 1))
-        b = np.zeros(ns + 1)
-        for cell, s, r in zip(pdf["cell"], pdf["sums"], pdf["rhs"]):
-            at = [*range(int(cell), int(cell) + 4), ns]
-            for (i, j), v in zip(_PAIRS, s):
-                a[at[i], at[j]] += v
-                if i != j:
-                    a[at[j], at[i]] += v
-            for i, v in enumerate(r):
-                b[at[i]] += v
-        second = np.diff(np.eye(ns), n=2, axis=0)
-        a[:ns, :ns] += smoothing * second.T @ second
-        a[ns, ns] += event_penalty
-        a += _RIDGE * np.eye(ns + 1)
-        c = np.linalg.solve(a, b)
-        before = first["before"]
-        change = float(np.max(np.abs(c - before))) if before is not None and len(before) else np.inf
-        return pd.DataFrame({by: [first[by]], "q": [first["q"]], "coef": [c], "change": [change]})
+def _solve_one(ns: int, cells, smoothing: float, event_penalty: float) -> np.ndarray:
+    """Coefficients of one curve from the sums of its cells (at most ns - 3 of them)."""
+    a = np.zeros((ns + 1, ns + 1))
+    b = np.zeros(ns + 1)
+    for c in cells:
+        at = np.array([*range(c["cell"], c["cell"] + 4), ns])
+        block = np.zeros((_TERMS, _TERMS))
+        block[_UPPER] = c["sums"]
+        a[np.ix_(at, at)] += block + np.triu(block, 1).T
+        b[at] += c["rhs"]
+    second = np.diff(np.eye(ns), n=2, axis=0)
+    a[:ns, :ns] += smoothing * second.T @ second
+    a[ns, ns] += event_penalty
+    a += _RIDGE * np.eye(ns + 1)
+    return np.linalg.solve(a, b)
+
+
+def _solver(smoothing: float, event_penalty: float):
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            coefs = [_solve_one(ns, cells, smoothing, event_penalty) for ns, cells in zip(pdf["n_splines"], pdf["cells"])]
+            changes = [
+                np.inf if before is None else float(np.max(np.abs(c - before))) for c, before in zip(coefs, pdf["before"])
+            ]
+            yield pdf.drop(columns=["n_splines", "cells", "before"]).assign(coef=coefs, change=changes)
 
     return solve
 
@@ -140,7 +145,9 @@ def fit_curves(
         .withColumns({"cell": cell, "t": t})
         .select(by, "n_splines", "cell", F.array(*spline_weights(F.col("t")), F.col("e")).alias("z"), "y", "w")
     )
-    placed = cut_lineage(placed)
+    # tables, not checkpoints: their size is known, so small model tables are broadcast to
+    # the points instead of shuffling the points in every round
+    placed = materialise(placed, "fit_points")
 
     def one_round(models: DataFrame | None) -> DataFrame:
         if models is None:
@@ -156,22 +163,23 @@ def fit_curves(
             fitted = at[0] + at[1] + at[2] + at[3] + F.get("m.coef", F.col("n_splines")) * F.col("z")[4]
             side = F.when(F.col("y") > fitted, F.col("m.q")).otherwise(F.lit(1.0) - F.col("m.q"))
         w = F.col("w") * F.when(F.col("m.q") == 0.5, F.col("y")).otherwise(1.0) * side
-        terms = each.select(by, "n_splines", "cell", "z", "y", F.col("m.q").alias("q"), F.col("m.coef").alias("before"), w.alias("w"))
+        terms = each.select(by, "n_splines", "cell", "z", "y", F.col("m.q").alias("q"), w.alias("w"))
         sums = terms.groupBy(by, "q", "n_splines", "cell").agg(
             F.array(*[F.sum(F.col("w") * F.col("z")[i] * F.col("z")[j]) for i, j in _PAIRS]).alias("sums"),
             F.array(*[F.sum(F.col("w") * F.col("z")[i] * F.col("y")) for i in range(_TERMS)]).alias("rhs"),
         )
+        cells = sums.groupBy(by, "q", "n_splines").agg(F.collect_list(F.struct("cell", "sums", "rhs")).alias("cells"))
         if models is None:
-            sums = sums.withColumn("before", F.lit(None).cast("array<double>"))
+            cells = cells.withColumn("before", F.lit(None).cast("array<double>"))
         else:
-            sums = sums.join(models.select(by, "q", F.col("coef").alias("before")), [by, "q"])
-        solved = sums.groupBy(by, "q").applyInPandas(
-            _solver(by, smoothing, event_penalty), f"{by} string, q double, coef array<double>, change double"
+            cells = cells.join(models.select(by, "q", F.col("coef").alias("before")), [by, "q"])
+        solved = cells.mapInPandas(
+            _solver(smoothing, event_penalty), f"{by} string, q double, coef array<double>, change double"
         )
-        return cut_lineage(solved)
+        return materialise(solved, "fit_round")
 
     models = one_round(None)
-    for _ in range(_MAX_ROUNDS):
+    for _ in range(_MAX_ROUNDS):  # one small job and one number to the driver each
         models = one_round(models)
         moved = models.agg(F.max("change").alias("change")).first()["change"]
         if moved is None or moved < _TOLERANCE:
