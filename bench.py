@@ -46,8 +46,9 @@ def main() -> None:
     timed("price_quantity", lambda: run(prepare.price_quantity(prepare.drop_thin_periods(prepare.keep_top_products(weekly)))))
     timed("elasticity", lambda: run(elasticity.elasticity_table(thick)))
     rows = timed("model_rows", lambda: materialise(review.model_rows(thick), "rows"))
-    observed = choose.with_support(decisions.observed_curve(thick))
-    timed("support_counts", lambda: run(observed))
+    observed = timed(
+        "support_counts", lambda: materialise(choose.with_support(decisions.observed_curve(thick)), "observed")
+    )
     timed("price_choice", lambda: run(choose.choose_prices(observed)))
     best = choose.best_expected(observed)
     timed("opportunities", lambda: run(report.opportunity_summary(best, observed, report.current_prices(items))))

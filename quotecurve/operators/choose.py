@@ -4,7 +4,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import to_cents
-from .joins import salted_join
 from .weights import price_counts
 
 # Fixed values of the price choice.
@@ -49,7 +48,7 @@ def support_table(rows: DataFrame, by: str = "product", price: str = "price") ->
 def with_support(rows: DataFrame, by: str = "product", price: str = "price") -> DataFrame:
     table = support_table(rows, by, price)
     keyed = rows.withColumn("cents", to_cents(F.col(price)))
-    return salted_join(keyed, table, on=[by, "cents"], spread_by=ROW_ORDER).drop("cents")
+    return keyed.join(table, [by, "cents"], "left").drop("cents")
 
 
 def with_score(curve: DataFrame) -> DataFrame:
@@ -130,11 +129,11 @@ def choose_prices(
     scored = with_score(curve).where(F.col("score") > 0)
     supported = price_means(scored.where(F.col("support_count") >= min_support))
     price = frontier_price(frontier(stable_points(supported)), max_drop=max_drop)
-    points = rows_at_price(scored)
-    picked = points.join(price, ["product", "price"], "left_semi")
-    fallback = best_row(scored, ["product"], [-F.col("support_count")])
-    uncovered = fallback.join(price.select("product"), "product", "left_anti")
-    return picked.unionByName(uncovered)
+    # first down to the few rows that can win, then one row for each product
+    at_price = scored.join(price, ["product", "price"], "left_semi")
+    picked = best_row(at_price, ["product"], [-F.col("revenue_p50")])
+    uncovered = scored.join(price.select("product"), "product", "left_anti")
+    return picked.unionByName(best_row(uncovered, ["product"], [-F.col("support_count")]))
 
 
 def highest_score(curve: DataFrame) -> DataFrame:

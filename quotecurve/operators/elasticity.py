@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import elasticity_label
+from ..session import materialise
 from .joins import salted_join
 from .ranks import percentile_ranks
 
@@ -101,7 +102,13 @@ def robust_slopes(periods: DataFrame) -> DataFrame:
         .where(F.col("slope").isNotNull())
     )
 
-    spots = points.groupBy("product", "x", "y").agg(F.count(F.lit(1)).alias("rows"))
+    # a fixed number of parts: every spot meets all trials, far more work than its bytes tell
+    parts = int(periods.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spots = (
+        points.groupBy("product", "x", "y")
+        .agg(F.count(F.lit(1)).alias("rows"))
+        .repartition(parts, "product", "x", "y")
+    )
     y_counts = spots.groupBy("product", "y").agg(F.sum("rows").alias("rows"))
     middle = y_counts.groupBy("product").agg(F.percentile("y", 0.5, F.col("rows")).alias("median"))
     limits = (
@@ -116,7 +123,7 @@ def robust_slopes(periods: DataFrame) -> DataFrame:
         .agg(F.collect_list(F.struct("trial", "slope", "level")).alias("trials"))
         .join(limits, "product")
     )
-    judged = salted_join(spots, models, on=["product"], spread_by=["x", "y"], how="inner")
+    judged = salted_join(spots, models, on=["product"], spread_by=["x", "y"], how="inner", salts=8)
     residual = F.abs(F.col("y") - F.col("t.level") - F.col("t.slope") * F.col("x"))
     votes = (
         judged.withColumn("t", F.explode("trials"))
@@ -154,8 +161,12 @@ def elasticity_slopes(periods: DataFrame, robust: bool = True) -> DataFrame:
 
 
 def label_slopes(slopes: DataFrame) -> DataFrame:
-    """Magnitude, label and sensitivity score (100 = most sensitive) of each slope."""
-    sized = slopes.withColumn("magnitude", F.abs("ratio"))
+    """Magnitude, label and sensitivity score (100 = most sensitive) of each slope.
+
+    The slopes (one row for each product) are read several times by the ranking, so they
+    are written once.
+    """
+    sized = materialise(slopes.withColumn("magnitude", F.abs("ratio")), "slopes")
     scores = percentile_ranks(sized, "magnitude", "share")
     return sized.join(scores, "magnitude", "left").select(
         "product",

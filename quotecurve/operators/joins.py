@@ -19,6 +19,10 @@ def salted_join(
     Each row takes a salt from the hash of `spread_by` (columns that tell rows of one key
     apart); the lookup is copied once for each salt. Every row still meets every lookup
     row of its key exactly once. A lookup small enough is still broadcast by Spark.
+
+    For dimension-like lookups, and for joins whose result is grouped by the join key
+    (adaptive skew splitting leaves those alone). A lookup about as large as the rows is
+    joined plainly instead: copying it would cost more than adaptive splitting does.
     """
     salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
     left = rows.withColumn("_salt", salt)

@@ -34,9 +34,7 @@ def days_at_price(sales: DataFrame) -> DataFrame:
 
 
 def with_days_at_price(sales: DataFrame) -> DataFrame:
-    return salted_join(
-        sales, days_at_price(sales), on=["item_id", "price"], spread_by=["order_date", "event_name"], how="inner"
-    )
+    return sales.join(days_at_price(sales), ["item_id", "price"], "inner")
 
 
 def roll_up(sales: DataFrame, granularity: str = "weekly") -> DataFrame:

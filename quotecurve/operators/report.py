@@ -109,7 +109,7 @@ def with_actuals(curve: DataFrame, periods: DataFrame) -> DataFrame:
         "product", price.alias("price"), (price * units).alias("revenue_actual"), units.alias("units_actual"),
         F.greatest(F.coalesce("deal_discount_percent", F.lit(0.0)), F.lit(0.0)).alias("deal_discount_percent"),
     )
-    joined = salted_join(curve, actual, on=["product", "price"], spread_by=["item_id", "period_start"])
+    joined = curve.join(actual, ["product", "price"], "left")
     discount = F.coalesce("deal_discount_percent", F.lit(0.0))
     revenue = F.coalesce("revenue_actual", F.lit(0.0))
     return joined.withColumns(

@@ -233,7 +233,7 @@ def with_weights(
     if support is not None:
         table = support.select(by, "cents", "support")
         out = out.withColumn("cents", to_cents(F.col("price")))
-        out = salted_join(out, table, on=[by, "cents"], spread_by=["item_id", "period_start"]).drop("cents")
+        out = out.join(table, [by, "cents"], "left").drop("cents")
         raw = F.col("time_weight") * F.coalesce("support", F.lit(1.0))
     else:
         raw = F.col("time_weight")
