@@ -102,13 +102,7 @@ def robust_slopes(periods: DataFrame) -> DataFrame:
         .where(F.col("slope").isNotNull())
     )
 
-    # a fixed number of parts: every spot meets all trials, far more work than its bytes tell
-    parts = int(periods.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spots = (
-        points.groupBy("product", "x", "y")
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .repartition(parts, "product", "x", "y")
-    )
+    spots = points.groupBy("product", "x", "y").agg(F.count(F.lit(1)).alias("rows"))
     y_counts = spots.groupBy("product", "y").agg(F.sum("rows").alias("rows"))
     middle = y_counts.groupBy("product").agg(F.percentile("y", 0.5, F.col("rows")).alias("median"))
     limits = (
@@ -123,7 +117,10 @@ def robust_slopes(periods: DataFrame) -> DataFrame:
         .agg(F.collect_list(F.struct("trial", "slope", "level")).alias("trials"))
         .join(limits, "product")
     )
-    judged = salted_join(spots, models, on=["product"], spread_by=["x", "y"], how="inner", salts=8)
+    parts = int(periods.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    judged = salted_join(
+        spots, models, on=["product"], spread_by=["x", "y"], how="inner", salts=8, parts=parts
+    )
     residual = F.abs(F.col("y") - F.col("t.level") - F.col("t.slope") * F.col("x"))
     votes = (
         judged.withColumn("t", F.explode("trials"))

@@ -13,6 +13,7 @@ def salted_join(
     spread_by: list[str],
     how: str = "left",
     salts: int = SALTS,
+    parts: int | None = None,
 ) -> DataFrame:
     """Join many rows to a lookup so that a hot key is split over `salts` tasks.
 
@@ -23,8 +24,14 @@ def salted_join(
     For dimension-like lookups, and for joins whose result is grouped by the join key
     (adaptive skew splitting leaves those alone). A lookup about as large as the rows is
     joined plainly instead: copying it would cost more than adaptive splitting does.
+
+    With `parts` both sides are spread over that many tasks and merged: for rows that are
+    multiplied after the join, where task counts picked by input bytes would be too low.
     """
     salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
     left = rows.withColumn("_salt", salt)
     right = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
+    keys = [*on, "_salt"]
+    if parts is not None:
+        left, right = left.repartition(parts, *keys), right.repartition(parts, *keys).hint("merge")
+    return left.join(right, keys, how).drop("_salt")
