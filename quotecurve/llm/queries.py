@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotecurve.llm import quality, simhash
+from quotecurve.llm import quality, simhash, suffix
 from quotecurve.llm.common import load
 
 
@@ -18,6 +18,10 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.drop("content").withColumnRenamed("id", "doc_id")
 
 
+def op9_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix.removed_passages(load(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
 _OP3 = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS body, source FROM documents),
 w AS (SELECT r, regexp_extract_all(body, '[^\x20\x09-\x0D]+') AS ws FROM d),
@@ -61,5 +65,6 @@ FROM base LEFT JOIN removed USING (r)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op3_quality_rules": op3_quality_rules,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
 }
 ORACLES = {"op3_quality_rules": _OP3}
