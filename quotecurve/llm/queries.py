@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotecurve.llm import quality, simhash, suffix
+from quotecurve.llm import bpe, mixing, quality, simhash, suffix
 from quotecurve.llm.common import load
 
 
@@ -13,11 +13,19 @@ def op1_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixture(load(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality.assess(load(spark, folder, "documents"))
     return judged.drop("content").withColumnRenamed("id", "doc_id")
 
 
+def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.digests(load(spark, folder, "documents")).drop("ids").withColumnRenamed("id", "doc_id")
+
+
 def op9_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix.removed_passages(load(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -64,7 +72,9 @@ FROM base LEFT JOIN removed USING (r)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_mixing": op2_mixing,
     "op3_quality_rules": op3_quality_rules,
+    "op6_bpe": op6_bpe,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
 }
 ORACLES = {"op3_quality_rules": _OP3}
