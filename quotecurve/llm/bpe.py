@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quotecurve.llm.common import text_bytes
 
 VOCABULARY = "byte_bpe_50k.json"
-CACHE = 500_000  # words a worker remembers before it starts anew; only speed depends on it
+CACHE = 200_000  # words a worker remembers before it starts anew; only speed depends on it
 # How byte-level vocabularies split text before merging (fixed).
 _SPLIT = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
