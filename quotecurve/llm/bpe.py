@@ -13,6 +13,7 @@ from quotecurve.llm.common import text_bytes
 
 VOCABULARY = "byte_bpe_50k.json"
 CACHE = 200_000  # words a worker remembers before it starts anew; only speed depends on it
+_ROWS = 256
 # How byte-level vocabularies split text before merging (fixed).
 _SPLIT = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
@@ -136,19 +137,39 @@ class Bpe:
         return joined.decode("utf-8", "replace").encode()
 
 
-def _mapped(df: DataFrame, column: str, out: str, kind: str, step) -> DataFrame:
-    """`df` with the column replaced by step(bytes) of it, under another name and type."""
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A few hundred rows at a time, so that a worker holds little besides its batch."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, _ROWS):
+            yield batch.slice(at, _ROWS)
+
+
+def _mapped(df: DataFrame, column: str, adds: dict[str, str], step) -> DataFrame:
+    """`df` without the column, but with the columns that step(bytes of it) gives."""
     kinds = {"string": pa.string(), "binary": pa.binary()}
+    kept = [c for c in df.columns if c != column]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            done = pa.array([step(v) for v in text_bytes(batch.column(column))], pa.binary()).cast(kinds[kind])
-            yield batch.set_column(batch.schema.get_field_index(column), out, done)
+        for batch in _slices(batches):
+            rows = [step(v) for v in text_bytes(batch.column(column))]
+            new = [pa.array([r[k] for r in rows], pa.binary()).cast(kinds[t]) for k, t in enumerate(adds.values())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *new], names=[*kept, *adds])
 
-    fields = [f"`{out}` {kind}" if n == column else f"`{n}` {t}" for n, t in df.dtypes]
+    fields = [f"`{n}` {t}" for n, t in df.dtypes if n != column] + [f"`{n}` {t}" for n, t in adds.items()]
     return df.mapInArrow(work, ", ".join(fields))
 
 
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+
+
+def _model(df: DataFrame, path: str | None):
+    return df.sparkSession.sparkContext.broadcast(Bpe.read(path or default_vocabulary()))
+
+
+_N_TOKENS = (F.octet_length("ids") / 4).cast("long")
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """Rows (id, ids, n_tokens), one per input row; ids are packed as little-endian unsigned 32-bit integers.
 
@@ -157,21 +178,30 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     empty table need no rule; other columns are ignored. The vocabulary is read once on the driver from
     `path` (a local file) and sent to the workers; its size does not depend on the data.
     """
-    model = docs.sparkSession.sparkContext.broadcast(Bpe.read(path or default_vocabulary()))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = _mapped(rows, "text", "ids", "binary", lambda text: model.value.encode(text.decode("utf-8", "replace")))
-    return found.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
+    model = _model(docs, path)
+    found = _mapped(_texts(docs, id_col, text_col), "text", {"ids": "binary"}, lambda t: (model.value.encode(t.decode("utf-8", "replace")),))
+    return found.withColumn("n_tokens", _N_TOKENS)
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", out: str = "text", path: str | None = None) -> DataFrame:
     """`encoded` with its packed ids replaced by the text they stand for; null ids give an empty text."""
-    model = encoded.sparkSession.sparkContext.broadcast(Bpe.read(path or default_vocabulary()))
-    return _mapped(encoded, ids_col, out, "string", lambda ids: model.value.decode(ids))
+    model = _model(encoded, path)
+    return _mapped(encoded, ids_col, {out: "string"}, lambda ids: (model.value.decode(ids),))
+
+
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """Rows (id, ids, decoded, n_tokens): `encode` and `decode` of its ids by one worker."""
+    model = _model(docs, path)
+
+    def both(text: bytes) -> tuple[bytes, bytes]:
+        ids = model.value.encode(text.decode("utf-8", "replace"))
+        return ids, model.value.decode(ids)
+
+    found = _mapped(_texts(docs, id_col, text_col), "text", {"ids": "binary", "decoded": "string"}, both)
+    return found.withColumn("n_tokens", _N_TOKENS)
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """Rows (id, n_tokens, ids_sha256, decoded_sha256, ids): texts encoded and decoded again."""
-    coded = encode(docs, id_col, text_col, path).withColumn("again", F.col("ids"))
-    return decode(coded, "again", "decoded", path).select(
-        "id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "ids"
-    )
+    decoded = F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
+    return round_trip(docs, id_col, text_col, path).select("id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), decoded, "ids")

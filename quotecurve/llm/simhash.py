@@ -26,6 +26,7 @@ CELL = 4096  # fingerprints of one side of a cell; larger ones are cut into pair
 _BITS = 64
 _STEP = 8  # planes between two looks for blocks to abandon
 _PAIRS = 1 << 16  # query-block pairs handled at once
+_ROWS = 256
 _ONES = np.array([(1 << k) - 1 for k in range(_BITS + 1)], dtype=np.uint64)
 
 
@@ -57,7 +58,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [text_fingerprint(text, shingle) for text in text_bytes(batch.column(1))]
+            parts = (batch.column(1).slice(at, _ROWS) for at in range(0, batch.num_rows, _ROWS))
+            values = [text_fingerprint(text, shingle) for part in parts for text in text_bytes(part)]
             fp = pa.array(np.array(values, dtype=np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), fp], names=["id", "fp"])
 

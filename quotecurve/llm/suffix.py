@@ -28,8 +28,9 @@ from quotecurve.llm.common import ensure_checkpoint_dir, materialise, total_text
 
 WIDTH = 50
 TOKEN = 24  # bytes of a leading token
-BLOCK_BYTES = 8 << 20  # text of a block
-PART_BYTES = 64 << 20  # text whose leading tokens one part compares
+BLOCK_BYTES = 4 << 20  # text of a block
+PART_BYTES = 32 << 20  # text whose leading tokens one part compares
+MAX_FILES = 50_000  # buckets of the table of blocks; one bucket holds several blocks beyond that
 _STRETCH = 64  # windows of a stretch, one bit each
 _PIECE = 1 << 17  # windows hashed at once
 _SAMPLES = 256  # leading tokens that a block adds to the sample
@@ -388,9 +389,10 @@ def _blocks(keyed: DataFrame, n_blocks: int) -> DataFrame:
     block = F.pmod(F.xxhash64("sha"), F.lit(n_blocks)).cast("int")
     folded = keyed.select(block.alias("block"), "sha", "id", F.col("body").cast("binary").alias("body"))
     folded = folded.mapInArrow(_fold_copies, "block int, sha binary, id long, body binary")
+    n_files = min(n_blocks, MAX_FILES)
     (
-        folded.repartition(n_blocks, "block")
-        .write.bucketBy(n_blocks, "block")
+        folded.repartition(n_files, "block")
+        .write.bucketBy(n_files, "block")
         .option("path", f"{ensure_checkpoint_dir(spark)}/{name}")
         .option("compression", "zstd")
         .saveAsTable(name)
@@ -460,7 +462,7 @@ def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
 
     Bytes of a character that was cut in two are dropped with it. All other columns are kept.
     """
-    clean = materialise(repeats_cut(docs, id_col, text_col, width, whole_characters=True), "clean")
+    clean = repeats_cut(docs, id_col, text_col, width, whole_characters=True)
     body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     out_of_reach = F.col(id_col).isNull() | (F.octet_length(body) < width)
     reached = docs.where(~out_of_reach).withColumn("sha", F.unhex(F.sha2(body, 256))).drop(text_col)
