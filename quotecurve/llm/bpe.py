@@ -167,7 +167,8 @@ def _model(df: DataFrame, path: str | None):
     return df.sparkSession.sparkContext.broadcast(Bpe.read(path or default_vocabulary()))
 
 
-_N_TOKENS = (F.octet_length("ids") / 4).cast("long")
+def _counted(encoded: DataFrame) -> DataFrame:
+    return encoded.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -180,7 +181,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     """
     model = _model(docs, path)
     found = _mapped(_texts(docs, id_col, text_col), "text", {"ids": "binary"}, lambda t: (model.value.encode(t.decode("utf-8", "replace")),))
-    return found.withColumn("n_tokens", _N_TOKENS)
+    return _counted(found)
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", out: str = "text", path: str | None = None) -> DataFrame:
@@ -198,7 +199,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return ids, model.value.decode(ids)
 
     found = _mapped(_texts(docs, id_col, text_col), "text", {"ids": "binary", "decoded": "string"}, both)
-    return found.withColumn("n_tokens", _N_TOKENS)
+    return _counted(found)
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotecurve.llm import bpe, mixing, quality, simhash, suffix
+from quotecurve.llm import bpe, mixing, quality, sharding, simhash, suffix, warc
 from quotecurve.llm.common import load
 
 
@@ -26,6 +26,15 @@ def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(load(spark, folder, "documents")).drop("ids").withColumnRenamed("id", "doc_id")
 
 
+def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shards(load(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    archives = warc.write_archives(load(spark, folder, "pages"))
+    return warc.read_archives(archives).drop("url", "payload")
+
+
 def op9_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix.removed_passages(load(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -70,11 +79,22 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM base LEFT JOIN removed USING (r)
 """
 
+_OP10 = f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+first AS (SELECT digest, min(page_id) AS page FROM p WHERE n >= {warc.MIN_BYTES} GROUP BY digest)
+SELECT page_id, n AS payload_bytes, p.digest AS payload_digest,
+  CASE WHEN page_id <> first.page THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id <> first.page THEN first.page END AS refers_to
+FROM p LEFT JOIN first USING (digest)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_mixing": op2_mixing,
     "op3_quality_rules": op3_quality_rules,
     "op6_bpe": op6_bpe,
+    "op7_sharding": op7_sharding,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
+    "op10_warc": op10_warc,
 }
-ORACLES = {"op3_quality_rules": _OP3}
+ORACLES = {"op3_quality_rules": _OP3, "op10_warc": _OP10}
