@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotecurve.llm import bpe, mixing, quality, sharding, simhash, suffix, warc
+from quotecurve.llm import bpe, ctw, mixing, quality, sharding, simhash, suffix, warc
 from quotecurve.llm.common import load
 
 
@@ -22,6 +22,10 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.drop("content").withColumnRenamed("id", "doc_id")
 
 
+def op4_context_tree_weighting(spark: SparkSession, folder: str) -> DataFrame:
+    return ctw.score(load(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(load(spark, folder, "documents")).drop("ids").withColumnRenamed("id", "doc_id")
 
@@ -92,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_mixing": op2_mixing,
     "op3_quality_rules": op3_quality_rules,
+    "op4_context_tree_weighting": op4_context_tree_weighting,
     "op6_bpe": op6_bpe,
     "op7_sharding": op7_sharding,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
