@@ -194,9 +194,9 @@ class Tree:
                 children = _kt(*_splits(left))
                 np.add.at(children, at, below)
                 weighted[split] = (np.logaddexp(estimate, children) - np.log(2))[split]
-            own[depth] = np.where(split[:, None], np.exp(estimate - np.log(2) - weighted), 1.0)
+            own[depth] = np.where(split[:, None], np.exp(estimate - np.log(2) - weighted), 1.0).astype(np.float32)
             zeros, ones = _splits(left)
-            rest[depth] = (ones + 0.5) / (zeros + ones + 1)
+            rest[depth] = ((ones + 0.5) / (zeros + ones + 1)).astype(np.float32)
             below = weighted
         # downwards: mix the estimates along the path
         self.log10, self.step, offset = [], [], 1

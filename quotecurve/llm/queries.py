@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotecurve.llm import bpe, ctw, mixing, quality, sharding, simhash, suffix, warc
+from quotecurve.llm import bpe, ctw, mixing, quality, sharding, simhash, suffix, toxicity, warc
 from quotecurve.llm.common import load
 
 
@@ -26,6 +26,11 @@ def op4_context_tree_weighting(spark: SparkSession, folder: str) -> DataFrame:
     return ctw.score(load(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    scored = toxicity.score(load(spark, folder, "documents"), load(spark, folder, "labels"))
+    return scored.withColumnRenamed("id", "doc_id")
+
+
 def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(load(spark, folder, "documents")).drop("ids").withColumnRenamed("id", "doc_id")
 
@@ -97,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_quality_rules": op3_quality_rules,
     "op4_context_tree_weighting": op4_context_tree_weighting,
+    "op5_toxicity": op5_toxicity,
     "op6_bpe": op6_bpe,
     "op7_sharding": op7_sharding,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
