@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotecurve.llm import bpe, ctw, mixing, quality, sharding, simhash, suffix, toxicity, warc
+from quotecurve.llm import bpe, ctw, hnsw, mixing, quality, sharding, simhash, suffix, toxicity, warc
 from quotecurve.llm.common import load
 
 
@@ -39,6 +39,10 @@ def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shards(load(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op8_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return hnsw.near_duplicates(load(spark, folder, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     archives = warc.write_archives(load(spark, folder, "pages"))
     return warc.read_archives(archives).drop("url", "payload")
@@ -105,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_bpe": op6_bpe,
     "op7_sharding": op7_sharding,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_warc": op10_warc,
 }
