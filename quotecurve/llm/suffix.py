@@ -262,6 +262,8 @@ def _least_by_window(buffer: np.ndarray, places: np.ndarray, group: np.ndarray,
     `group` tells windows apart that cannot be equal. Groups that hold one id only drop out early.
     """
     best = ids.copy()
+    if not len(places):
+        return best
     words = _words(buffer, ">u8")
     active = np.arange(len(places))
     steps = [*range(0, width - 8, 8), width - 8]
@@ -465,10 +467,10 @@ def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     clean = repeats_cut(docs, id_col, text_col, width, whole_characters=True)
     body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     out_of_reach = F.col(id_col).isNull() | (F.octet_length(body) < width)
-    reached = docs.where(~out_of_reach).withColumn("sha", F.unhex(F.sha2(body, 256))).drop(text_col)
-    cut = (
-        reached.join(clean.select("sha", "first_id", "kept", "n_removed"), "sha")
-        .where((F.col(id_col) == F.col("first_id")) & (F.octet_length("kept") > 0))
-        .withColumn(text_col, F.col("kept").cast("string"))
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    reached = docs.where(~out_of_reach).select(F.struct(*rest).alias("doc"), F.unhex(F.sha2(body, 256)).alias("sha"))
+    cut = reached.join(clean.select("sha", "first_id", "kept"), "sha").where(
+        (F.col("doc").getField(id_col) == F.col("first_id")) & (F.octet_length("kept") > 0)
     )
-    return docs.where(out_of_reach).unionByName(cut.select(docs.columns))
+    columns = [F.col("kept").cast("string") if c == text_col else F.col("doc").getField(c) for c in docs.columns]
+    return docs.where(out_of_reach).union(cut.select(*[x.alias(c) for x, c in zip(columns, docs.columns, strict=True)]))
