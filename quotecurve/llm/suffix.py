@@ -160,7 +160,9 @@ def _unpack(data: bytes, width: int = _KEY_BYTES) -> np.ndarray:
 
 def _slices(groups: np.ndarray) -> Iterator[tuple[int, slice]]:
     """(group, slice) of the runs of a sorted array."""
-    edges = np.flatnonzero(np.append(True, groups[1:] != groups[:-1])) if len(groups) else np.empty(0, np.int64)
+    if not len(groups):
+        return
+    edges = np.flatnonzero(np.append(True, groups[1:] != groups[:-1]))
     for low, high in zip(edges.tolist(), np.append(edges[1:], len(groups)).tolist(), strict=True):
         yield int(groups[low]), slice(low, high)
 
