@@ -1,5 +1,5 @@
 """Registered queries with their DuckDB twins."""
 
-from . import decisions, extract, models, pricing, weighting
+from . import decisions, extract, models, sold, weighting
 
-MODULES = [extract, pricing, weighting, decisions, models]
+MODULES = [extract, sold, weighting, decisions, models]

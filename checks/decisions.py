@@ -13,7 +13,7 @@ from quotecurve.operators import shape as shp
 from quotecurve.sources import retail
 
 from .base import compose, cte
-from .pricing import prepared_rows, sales, thick_rows
+from .sold import prepared_rows, sales, thick_rows
 from . import weighting  # noqa: F401  (defines subqueries used here)
 
 QUERIES: dict = {}
@@ -624,10 +624,10 @@ def discounted(spark, folder):
 
 @check(
     "t04_selector_list",
-    "SELECT product, item_id, revenue_p50 FROM best50 ORDER BY revenue_p50 DESC, product LIMIT 20",
+    "SELECT product, item_id, revenue_p50 FROM best50 ORDER BY revenue_p50 DESC, product",
 )
 def selector(spark, folder):
-    return rep.selector_list(best(spark, folder)).limit(20)
+    return rep.selector_list(best(spark, folder))
 
 
 @check(

@@ -15,7 +15,7 @@ from quotecurve.sources.files import write_records, write_sales
 
 from .base import compose, cte
 from .decisions import best, rounded
-from .pricing import prepared_rows, sales, thick_rows
+from .sold import prepared_rows, sales, thick_rows
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}

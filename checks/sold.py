@@ -486,12 +486,12 @@ def elasticity_table(spark, folder):
     "t02_most_elastic_first",
     """SELECT product, CAST(row_number() OVER (ORDER BY abs(slope) DESC NULLS LAST, product) AS INTEGER) AS place
 FROM (SELECT product, CASE WHEN count(*) >= 5 THEN regr_slope(y, x) END AS slope FROM points GROUP BY product)
-ORDER BY place LIMIT 25""",
+ORDER BY place""",
 )
 def most_elastic(spark, folder):
     from pyspark.sql import Window
 
-    top = ela.elasticity_table(thick_rows(spark, folder), robust=False).limit(25)
+    top = ela.elasticity_table(thick_rows(spark, folder), robust=False)
     order = Window.orderBy(F.col("magnitude").desc_nulls_last(), "product")
     return top.select("product", F.row_number().over(order).alias("place"))
 

@@ -6,7 +6,7 @@ from quotecurve.functions.money import to_cents
 from quotecurve.operators import weights as wt
 
 from .base import compose, cte
-from .pricing import prepared_rows, thick_rows
+from .sold import prepared_rows, thick_rows
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -167,11 +167,14 @@ FROM (SELECT product, lo, greatest(lo * 1.01, 2 * sd) AS hi
 
 @check(
     "m06_bandwidth_scores",
-    """SELECT product, CAST(i AS INTEGER) AS i, round(h, 6) AS h, round(sum(n * ln(greatest(mass, 1e-15) / (train_size * h * sqrt(2 * pi())))), 4) AS score
-FROM (SELECT q.product, g.i, g.h, q.cents, q.fold, q.n,
-             sum(r.n) AS train_size, sum(r.n * exp(-0.5 * pow((q.cents - r.cents) / g.h, 2))) AS mass
-      FROM fold_spots q JOIN fold_spots r ON r.product = q.product AND r.fold <> q.fold
-      JOIN fold_grid g ON g.product = q.product GROUP BY ALL)
+    """SELECT product, CAST(i AS INTEGER) AS i, round(h, 6) AS h, round(sum(n * (ln(total) - nearest - ln(train_size * h * sqrt(2 * pi())))), 4) AS score
+FROM (SELECT product, i, h, cents, fold, n, sum(m) AS train_size, min(gap) AS nearest,
+             sum(m * exp(least - gap)) AS total
+      FROM (SELECT q.product, g.i, g.h, q.cents, q.fold, q.n, r.n AS m, pow((q.cents - r.cents) / g.h, 2) / 2 AS gap,
+                   min(pow((q.cents - r.cents) / g.h, 2) / 2) OVER (PARTITION BY q.product, g.i, q.cents, q.fold) AS least
+            FROM fold_spots q JOIN fold_spots r ON r.product = q.product AND r.fold <> q.fold
+            JOIN fold_grid g ON g.product = q.product)
+      GROUP BY product, i, h, cents, fold, n)
 GROUP BY product, i, h""",
 )
 def bandwidth_scores(spark, folder):
@@ -316,6 +319,6 @@ def finite_rows(spark, folder):
 def fill_dates(spark, folder):
     from quotecurve.functions.dates import fill_date
 
-    from .pricing import sales
+    from .sold import sales
 
     return sales(spark, folder).select("item_id", fill_date(F.col("item_id")).alias("order_date")).distinct()

@@ -25,7 +25,7 @@ MIN_PRICES = 3
 # names of the expectiles in column names
 BAND = {0.025: "p025", 0.5: "p50", 0.975: "p975"}
 
-_MAX_ROUNDS = 25
+_MAX_ROUNDS = 500  # beyond this a curve is reported as not converged
 _TOLERANCE = 1e-6
 _RIDGE = 1e-8
 _TERMS = 5  # four spline weights and the event term
@@ -105,13 +105,27 @@ def _solve_one(ns: int, cells, smoothing: float, event_penalty: float) -> np.nda
     return np.linalg.solve(a, b)
 
 
-def _solver(smoothing: float, event_penalty: float):
+def _solver(smoothing: float, event_penalty: float, first: bool):
+    """Solves each curve of a round. A curve that cannot be solved has no coefficients from then on."""
+
+    def one(ns: int, cells, before) -> np.ndarray | None:
+        if before is None and not first:
+            return None
+        try:
+            coef = _solve_one(ns, cells, smoothing, event_penalty)
+        except np.linalg.LinAlgError:
+            return None
+        return coef if np.isfinite(coef).all() else None
+
+    def moved(coef, before) -> float:
+        if coef is None:
+            return 0.0
+        return np.inf if before is None else float(np.max(np.abs(coef - before)))
+
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            coefs = [_solve_one(ns, cells, smoothing, event_penalty) for ns, cells in zip(pdf["n_splines"], pdf["cells"])]
-            changes = [
-                np.inf if before is None else float(np.max(np.abs(c - before))) for c, before in zip(coefs, pdf["before"])
-            ]
+            coefs = [one(*row) for row in zip(pdf["n_splines"], pdf["cells"], pdf["before"])]
+            changes = [moved(c, before) for c, before in zip(coefs, pdf["before"])]
             yield pdf.drop(columns=["n_splines", "cells", "before"]).assign(coef=coefs, change=changes)
 
     return solve
@@ -130,7 +144,8 @@ def fit_curves(
 
     `rows` has the group, price, shipped_units, event_code and a weight. The weight is
     multiplied by ln(1+units) for the middle expectile. Groups with fewer than three
-    distinct prices get status 'too_few_prices' and no curve, the others go on.
+    distinct prices get status 'too_few_prices' and no curve, one that cannot be solved
+    'failed', one that still moves after the last round 'not_converged'; the others go on.
 
     All groups and expectiles are fitted together: each round is one pass over the
     training points that reweights them by the side of the curve they lie on (asymmetric
@@ -174,7 +189,7 @@ def fit_curves(
         else:
             cells = cells.join(models.select(by, "q", F.col("coef").alias("before")), [by, "q"])
         solved = cells.mapInPandas(
-            _solver(smoothing, event_penalty), f"{by} string, q double, coef array<double>, change double"
+            _solver(smoothing, event_penalty, models is None), f"{by} string, q double, coef array<double>, change double"
         )
         return materialise(solved, "fit_round")
 
@@ -193,7 +208,10 @@ def fit_curves(
         "n_splines",
         F.slice("coef", 1, F.col("n_splines")).alias("beta"),
         F.element_at("coef", -1).alias("event_coef"),
-        F.lit("fitted").alias("status"),
+        F.when(F.col("coef").isNull(), "failed")
+        .when(F.col("change") < _TOLERANCE, "fitted")
+        .otherwise("not_converged")
+        .alias("status"),
     )
     skipped = ranges.where(F.col("n_prices") < MIN_PRICES).withColumn(
         "q", F.explode(F.array(*[F.lit(float(q)) for q in expectiles]))

@@ -13,8 +13,6 @@ from .ranks import label_codes
 # Products kept by default, and the units below which a period is thin.
 TOP_N = 10
 MIN_PERIOD_UNITS = 5
-# A product list up to this length is broadcast for the filter; a longer one is shuffled.
-BROADCAST_LIST = 10_000
 
 
 def with_products(sales: DataFrame, products: DataFrame) -> DataFrame:
@@ -85,7 +83,7 @@ def top_products(periods: DataFrame, n: int = TOP_N) -> DataFrame:
 
 def keep_top_products(periods: DataFrame, n: int = TOP_N) -> DataFrame:
     top = top_products(periods, n).select("product")
-    return periods.join(F.broadcast(top) if n <= BROADCAST_LIST else top, "product", "left_semi")
+    return periods.join(top, "product", "left_semi")
 
 
 def drop_thin_periods(periods: DataFrame, min_units: int = MIN_PERIOD_UNITS) -> DataFrame:

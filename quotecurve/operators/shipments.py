@@ -18,7 +18,7 @@ class Scope:
     """What to extract. `items`, `product_groups` and `company_codes` of None mean no such filter."""
 
     run_date: str | date
-    window_days: int = 730
+    window_days: int | None = 730
     region_id: int = 1
     market_id: int = 1
     product_groups: tuple[int, ...] | None = (199,)
@@ -29,6 +29,9 @@ class Scope:
 
     @property
     def window_start(self) -> Column:
+        """First day of the window; without a length, the first day there is."""
+        if self.window_days is None:
+            return as_date("0001-01-01")
         return F.date_sub(as_date(self.run_date), self.window_days)
 
     @property

@@ -22,7 +22,7 @@ FOLDS = 5
 
 _TERMS = 20  # series terms of the kernel sums
 _REACH = 9  # cells on each side; a kernel further away is below 1e-17
-_DENSITY_FLOOR = 1e-15  # held-out kernel mass counted for a price far from all others
+_SMALL_MASS = 1e-3  # below this the series is too coarse in relation, and the sum is taken in logarithms
 
 
 def time_weight(rows: DataFrame, day: str = "period_start", half_life: float | None = HALF_LIFE_DAYS) -> DataFrame:
@@ -189,10 +189,30 @@ def bandwidth_scores(rows: DataFrame, row_key: list[str], by: str = "product") -
         .join(grid, [by, "i"])
         .join(mass.drop("n", "h"), [*keys, "cents"], "left")
     )
-    density = F.greatest(F.coalesce("mass", F.lit(0.0)), F.lit(_DENSITY_FLOOR)) / (
-        F.col("train_size") * F.col("h") * F.lit((2 * 3.141592653589793) ** 0.5)
-    )
-    return scored.groupBy(by, "i", "h").agg(F.sum(F.col("n") * F.ln(density)).alias("score"))
+    near = scored.where(F.col("mass") >= _SMALL_MASS).withColumn("log_mass", F.ln("mass"))
+    far = _far_log_mass(scored.where(F.coalesce("mass", F.lit(0.0)) < _SMALL_MASS), counts, by)
+    scale = F.ln(F.col("train_size") * F.col("h") * F.lit((2 * 3.141592653589793) ** 0.5))
+    told = near.unionByName(far)
+    return told.groupBy(by, "i", "h").agg(F.sum(F.col("n") * (F.col("log_mass") - scale)).alias("score"))
+
+
+def _far_log_mass(queries: DataFrame, counts: DataFrame, by: str) -> DataFrame:
+    """`queries` (group, held, cents, h) with log_mass, the logarithm of the exact kernel sum.
+
+    For prices far from all others of the training folds: the sum over the group's distinct prices is
+    taken relative to the nearest one, so it never underflows. No pairs of prices are written out.
+    """
+    spots = counts.withColumn("held", F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1)))).where(F.col("held") != F.col("fold"))
+    spots = spots.groupBy(by, "held", "cents").agg(F.sum("n").alias("n"))
+    arrays = spots.groupBy(by, "held").agg(F.collect_list(F.struct("cents", "n")).alias("refs"))
+
+    def gap(ref: Column) -> Column:
+        return F.pow((F.col("cents") - ref["cents"]) / F.col("h"), F.lit(2.0)) / 2
+
+    least = F.array_min(F.transform("refs", gap))
+    met = queries.join(arrays, [by, "held"]).withColumn("least", least)
+    total = F.aggregate("refs", F.lit(0.0), lambda acc, r: acc + r["n"] * F.exp(F.col("least") - gap(r)))
+    return met.withColumn("log_mass", F.ln(total) - F.col("least")).drop("refs", "least")
 
 
 def best_bandwidth(rows: DataFrame, row_key: list[str], by: str = "product") -> DataFrame:

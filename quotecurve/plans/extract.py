@@ -58,11 +58,11 @@ def sales_extract(inputs: Inputs, scope: Scope, dedupe_promos: bool = False) ->
     return attribute_sales(orders_in_scope(inputs, scope), consolidated, base, dedupe_promos)
 
 
-def whole_history(run_date: str = "2002-01-01") -> Scope:
+def whole_history(run_date: str = "9999-12-31") -> Scope:
     """A scope that keeps every shipment of the retail tables."""
     return Scope(
         run_date=run_date,
-        window_days=3650,
+        window_days=None,
         product_groups=None,
         company_codes=None,
         excluded_condition=None,
@@ -71,7 +71,7 @@ def whole_history(run_date: str = "2002-01-01") -> Scope:
 
 
 def sales_input(spark: SparkSession, folder: str) -> DataFrame:
-    """Sales frame of the pricing half, over all shipments of the retail tables."""
+    """Sales frame of the price review, over all shipments of the retail tables."""
     sales = sales_extract(retail_inputs(spark, folder), whole_history())
     return sales.select(
         "item_id",

@@ -7,8 +7,8 @@ from ..functions.dates import lenient_date
 from ..functions.money import MONEY
 from ..functions.numeric import nonneg
 
-# File name patterns of the two inputs.
-SALES_GLOB = "*pricing*"
+# File name patterns of the two inputs, unless others are given.
+SALES_GLOB = "*sales*"
 PRODUCT_GLOB = "*product*"
 
 SALES_COLUMNS = ["item_id", "order_date", "price", "shipped_units", "event_name", "deal_discount_percent"]
@@ -58,18 +58,20 @@ def coerce_products(df: DataFrame) -> DataFrame:
     return df.select(F.col("item_id").cast("string").alias("item_id"), *text, price.alias("current_price"))
 
 
-def read_sales(spark: SparkSession, folder: str, file_format: str = "csv") -> DataFrame:
-    return coerce_sales(_read(spark, folder, SALES_GLOB, file_format))
+def read_sales(spark: SparkSession, folder: str, file_format: str = "csv", pattern: str = SALES_GLOB) -> DataFrame:
+    return coerce_sales(_read(spark, folder, pattern, file_format))
 
 
-def read_products(spark: SparkSession, folder: str, file_format: str = "csv") -> DataFrame:
-    return coerce_products(_read(spark, folder, PRODUCT_GLOB, file_format))
+def read_products(spark: SparkSession, folder: str, file_format: str = "csv", pattern: str = PRODUCT_GLOB) -> DataFrame:
+    return coerce_products(_read(spark, folder, pattern, file_format))
 
 
 def write_sales(df: DataFrame, path: str, file_format: str = "parquet", mode: str = "overwrite") -> None:
-    """Result sink, one folder for each order month so a look-back window prunes files."""
-    month = F.date_format("order_date", "yyyy-MM")
-    out = df.withColumn("order_month", month).repartition("order_month", F.pmod(F.xxhash64("item_id"), F.lit(64)))
+    """Result sink, one folder for each order month so a look-back window prunes files.
+
+    Rows are rebalanced by month: adaptive execution joins small months and splits large ones.
+    """
+    out = df.withColumn("order_month", F.date_format("order_date", "yyyy-MM")).hint("rebalance", "order_month")
     writer = out.write.mode(mode).partitionBy("order_month")
     if file_format == "csv":
         writer = writer.option("header", True)

@@ -26,7 +26,7 @@ def products(spark, rows):
 
 
 def test_read_csv_with_bad_values(spark, tmp_path):
-    (tmp_path / "a_pricing.csv").write_text(
+    (tmp_path / "a_sales.csv").write_text(
         " Item_ID ,ORDER_DATE,price,shipped_units,event_name,deal_discount_percent\n"
         "a,2024-01-02,9.99,3,BAU,\nb,2024-01-03 10:00:00,oops,-4,,5\nc,nonsense,1.00,2,BAU,x\n"
     )
