@@ -673,7 +673,7 @@ def rolling_median(spark, folder):
 cte(
     "ranked_top",
     """SELECT *, row_number() OVER (PARTITION BY product ORDER BY price) AS i, sum(value) OVER (PARTITION BY product ORDER BY price) AS cum
-FROM (SELECT product, cents / 100.0::DOUBLE AS price, avg(revenue_cents / 100.0::DOUBLE) AS value FROM prepared GROUP BY product, cents)""",
+FROM (SELECT product, cents / 100.0::DOUBLE AS price, avg(revenue_cents / 100.0::DOUBLE) AS value FROM thick GROUP BY product, cents)""",
 )
 
 
@@ -685,7 +685,7 @@ FROM (SELECT product, cents / 100.0::DOUBLE AS price, avg(revenue_cents / 100.0:
   JOIN ranked_top b ON b.product = p.product AND b.i >= p.i GROUP BY ALL) GROUP BY product, price""",
 )
 def monotone(spark, folder):
-    points = ch.price_means(observed_curve(prepared_rows(spark, folder)), "revenue_p50")
+    points = ch.price_means(observed_curve(thick_rows(spark, folder)), "revenue_p50")
     return rooted(shp.monotone_curve(points, "value"))
 
 

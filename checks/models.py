@@ -41,7 +41,7 @@ def all_rows(spark, folder):
 @lru_cache
 def top_rows(spark, folder):
     """Coded and weighted weekly rows of the top products."""
-    return materialise(review.model_rows(prepared_rows(spark, folder)), "top_rows")
+    return materialise(review.model_rows(thick_rows(spark, folder)), "top_rows")
 
 
 @lru_cache

@@ -151,7 +151,7 @@ cte(
     "fold_spots",
     """
 SELECT product, cents, ('0x' || substr(md5(item_id || '|' || period_start || '|' || month || '|' || event_name), 1, 8))::BIGINT % 5 AS fold,
-       count(*) AS n FROM prepared GROUP BY ALL
+       count(*) AS n FROM thick GROUP BY ALL
 """,
 )
 cte(
@@ -159,7 +159,7 @@ cte(
     """
 SELECT product, i, exp(ln(lo) + (ln(hi) - ln(lo)) * (i / 14.0::DOUBLE)) AS h
 FROM (SELECT product, lo, greatest(lo * 1.01, 2 * sd) AS hi
-      FROM (SELECT product, stddev_pop(cents) AS sd, greatest(0.1, 0.05 * stddev_pop(cents)) AS lo FROM prepared GROUP BY product)),
+      FROM (SELECT product, stddev_pop(cents) AS sd, greatest(0.1, 0.05 * stddev_pop(cents)) AS lo FROM thick GROUP BY product)),
      range(15) g(i)
 """,
 )
@@ -178,7 +178,7 @@ FROM (SELECT product, i, h, cents, fold, n, sum(m) AS train_size, min(gap) AS ne
 GROUP BY product, i, h""",
 )
 def bandwidth_scores(spark, folder):
-    rows = wt.bandwidth_scores(prepared_rows(spark, folder), KEY)
+    rows = wt.bandwidth_scores(thick_rows(spark, folder), KEY)
     return rows.select("product", "i", F.round("h", 6).alias("h"), F.round("score", 4).alias("score"))
 
 

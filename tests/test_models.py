@@ -1,11 +1,14 @@
 """Properties of the curve fit and of the search."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quotecurve.operators import curve as crv
 from quotecurve.operators import tuning as tun
+from quotecurve.operators import weights as wt
 
 
 def model_rows(spark, n=300, products=2, noise=0.2, seed=1):
@@ -113,3 +116,28 @@ def test_bootstrap_bands(spark):
     bands = crv.bootstrap_until(df, ["k"], target=0.5, batch=4, max_replicates=4, expectiles=(0.5,), n_splines=6)
     assert bands.count() == df.select("price").distinct().count()
     assert bands.agg(F.max("replicates")).first()[0] == 4
+
+
+def test_a_far_price_rules_out_the_narrowest_bandwidth(spark):
+    prices = [10 + k % 7 / 100 for k in range(40)] + [500.0]
+    rows = spark.createDataFrame([("p", float(p), str(k)) for k, p in enumerate(prices)], "product string, price double, key string")
+    scores = {r["i"]: (r["h"], r["score"]) for r in wt.bandwidth_scores(rows, ["key"]).collect()}
+    cents = np.round(np.array(prices) * 100)
+    fold = np.array([int(hashlib.md5(str(k).encode()).hexdigest()[:8], 16) % 5 for k in range(41)])
+    for h, score in scores.values():
+        want = 0.0
+        for c, f in zip(cents, fold):
+            gap = ((c - cents[fold != f]) / h) ** 2 / 2
+            want += np.log(np.exp(gap.min() - gap).sum()) - gap.min() - np.log(len(gap) * h * np.sqrt(2 * np.pi))
+        assert score == pytest.approx(want, rel=1e-6)
+    assert wt.best_bandwidth(rows, ["key"]).first()["h"] > scores[0][0]
+
+
+def test_a_broken_product_is_told_and_the_others_go_on(spark, monkeypatch):
+    good = model_rows(spark, n=60, products=1)
+    broken = spark.createDataFrame([("bad", float(k), 0, k, 1e308) for k in range(1, 9)], good.schema)
+    states = {(r["product"], r["q"]): r["status"] for r in crv.fit_curves(good.union(broken)).collect()}
+    assert {s for (p, _), s in states.items() if p == "p0"} == {"fitted"}
+    assert {s for (p, _), s in states.items() if p == "bad"} == {"failed"}
+    monkeypatch.setattr(crv, "_MAX_ROUNDS", 1)
+    assert "not_converged" in {r["status"] for r in crv.fit_curves(good).collect()}
