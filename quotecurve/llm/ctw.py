@@ -2,16 +2,20 @@
 
 A text is its words in lower case, one space apart, and an end symbol. Each byte is eight binary decisions;
 each decision has a Krichevsky-Trofimov estimate in every context of zero to DEPTH preceding bytes, and
-the estimates of all depths are mixed by the weights of context-tree weighting.
-
-Strings of DEPTH + 1 bytes are counted over all training texts, combined in each task before they are
-shuffled. The tree keeps a context of one or more bytes if it holds at least NODE_SHARE of the training
-symbols; what a node's dropped children held is one leaf beside the kept ones. So the tree has at most
-DEPTH / NODE_SHARE contexts whatever the size of the corpus, and may be sent to all workers.
+the estimates of all depths are mixed by the weights of context-tree weighting. A context or decision
+that no training text holds predicts one half.
+
+The tree keeps every context of the training texts, so it grows with the corpus and is never in one place.
+Documents are read in chunks; a chunk is written with its distinct strings of DEPTH + 1 bytes and their
+training counts. Counts are summed by string, and subtrees below contexts of two bytes are computed where
+the strings of such a context meet. Only the tree above them, at most 2^16 contexts of two bytes, is
+put together by the driver and sent to the workers. The probability of each distinct string then goes
+back to the chunks that hold it.
 """
 
 from collections import Counter
 from collections.abc import Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -21,14 +25,15 @@ from pyspark.sql import functions as F
 from quotecurve.llm.common import materialise, text_bytes
 
 DEPTH = 5
-NODE_SHARE = 2.0**-16
+TOP = 2  # bytes of the contexts whose subtrees are computed apart
 WORD_SHARE = 2.0**-20  # a word with this share of the training tokens is looked up in the worker
-PARTS = 64  # groups of contexts, by their last two bytes
+PART = 1 << 16  # distinct strings of a part, about
 END = 255  # no byte of UTF-8; ends a text, and stands before its start
-_FLUSH = 4 << 20  # symbols counted at once
+_FLUSH = 4 << 20  # symbols of a chunk
+_HELD = 2 << 20  # summed strings that a task holds before it hands them on
 _PIECE = 1 << 18
 _ROWS = 256
-_LN10 = np.log(10.0)
+_LN2, _LN10 = np.log(2.0), np.log(10.0)
 
 
 def plain(text: bytes) -> list[bytes]:
@@ -68,68 +73,80 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
 
 
-def _part_of(gram: np.ndarray) -> np.ndarray:
-    last_two = (gram >> np.uint64(8)) & np.uint64(0xFFFF)
-    return ((last_two * np.uint64(40503)) & np.uint64(0xFFFF)).astype(np.int64) * PARTS >> 16
+def _pack(grams: np.ndarray) -> bytes:
+    """Byte planes of the numbers, highest byte first; sorted numbers so compress well."""
+    return np.ascontiguousarray(grams.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - DEPTH - 1 :].T).tobytes()
+
+
+def _unpack(planes: bytes) -> np.ndarray:
+    n = len(planes) // (DEPTH + 1)
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, 8 - DEPTH - 1 :] = np.frombuffer(planes, np.uint8).reshape(DEPTH + 1, n).T
+    return wide.view(">u8").ravel().astype(np.uint64)
+
+
+def _part_of(gram: np.ndarray, parts: int) -> np.ndarray:
+    """Part of a string by the context of TOP bytes before its symbol."""
+    context = (gram >> np.uint64(8)) & np.uint64((1 << 8 * TOP) - 1)
+    return (((context * np.uint64(40503)) & np.uint64(0xFFFF)) * np.uint64(parts) >> np.uint64(16)).astype(np.int64)
 
 
-def gram_counts(texts: DataFrame) -> DataFrame:
-    """Rows (part, n, grams, counts) for a frame with one text column; packed numbers, n their total."""
+def chunks(rows: DataFrame) -> DataFrame:
+    """The rows (id, text, held_out) with the chunk they are in, and a row for each chunk with only its strings.
+
+    Such a row holds the distinct strings of all texts of the chunk and how often the training texts hold them.
+    """
+    kind = dict(rows.dtypes)["id"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        chunk, held, size = uuid4().int >> 65, [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, _ROWS):
-                held.append(_grams(text_bytes(batch.column(0).slice(at, _ROWS))))
-                size += len(held[-1])
+                part = batch.slice(at, _ROWS)
+                out = np.array(part.column(2).to_pylist(), bool)
+                texts = text_bytes(part.column(1))
+                held.append((_grams([t for t, o in zip(texts, out, strict=True) if not o]), True))
+                held.append((_grams([t for t, o in zip(texts, out, strict=True) if o]), False))
+                size += len(held[-1][0]) + len(held[-2][0])
+                nothing = pa.nulls(part.num_rows, pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * part.num_rows, pa.int64()), *part.columns, nothing, nothing], names=names)
                 if size >= _FLUSH:
-                    yield packed(np.concatenate(held))
-                    held, size = [], 0
+                    yield packed(chunk, held, part.schema)
+                    chunk, held, size = uuid4().int >> 65, [], 0
         if size:
-            yield packed(np.concatenate(held))
-
-    def packed(grams: np.ndarray) -> pa.RecordBatch:
-        keys, counts = np.unique(grams, return_counts=True)
-        part = _part_of(keys)
-        rows = []
-        for p in np.unique(part).tolist():
-            on = part == p
-            planes = np.ascontiguousarray(keys[on].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : DEPTH + 1].T)
-            rows.append((p, int(counts[on].sum()), planes.tobytes(), counts[on].astype("<u4").tobytes()))
-        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
-        columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
-        return pa.RecordBatch.from_arrays(columns, names=["part", "n", "grams", "counts"])
+            yield packed(chunk, held, part.schema)
+
+    def packed(chunk: int, held: list, schema: pa.Schema) -> pa.RecordBatch:
+        grams, counts = np.unique(np.concatenate([g for g, _ in held]), return_counts=True)
+        unseen = np.concatenate([g for g, learnt in held if not learnt])
+        keys, times = np.unique(unseen, return_counts=True)
+        counts[np.searchsorted(grams, keys)] -= times
+        columns = [pa.array([chunk], pa.int64()), *(pa.nulls(1, f.type) for f in schema)]
+        columns += [pa.array([_pack(grams)], pa.binary()), pa.array([counts.astype("<u4").tobytes()], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
-    return texts.mapInArrow(work, "part int, n long, grams binary, counts binary")
+    names = ["chunk", "id", "text", "held_out", "grams", "counts"]
+    return rows.mapInArrow(work, f"chunk long, id {kind}, text string, held_out boolean, grams binary, counts binary")
 
 
-def kept_contexts(counted: DataFrame, least: float) -> DataFrame:
-    """Rows (depth, keys, counts) of packed numbers: (context, symbol) counts of contexts with `least` symbols or more.
+def gram_counts(strings: DataFrame) -> DataFrame:
+    """Rows (gram, c): training count of each distinct string of the chunks' (grams, counts), those of none included."""
 
-    The last byte of a context is its lowest. All contexts of two bytes are given.
-    """
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+        for batch in batches:
+            for planes, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                more = np.frombuffer(packed, "<u4").astype(np.int64)
+                keys, counts = _summed(np.concatenate([keys, _unpack(planes)]), np.concatenate([counts, more]))
+                if len(keys) >= _HELD:
+                    yield rows(keys, counts)
+                    keys, counts = keys[:0], counts[:0]
+        yield rows(keys, counts)
 
-    def work(table: pa.Table) -> pa.Table:
-        keys, counts = [], []
-        for planes, packed in zip(table.column("grams").to_pylist(), table.column("counts").to_pylist(), strict=True):
-            wide = np.zeros((len(packed) // 4, 8), np.uint8)
-            wide[:, : DEPTH + 1] = np.frombuffer(planes, np.uint8).reshape(DEPTH + 1, -1).T
-            keys.append(wide.view("<u8").ravel())
-            counts.append(np.frombuffer(packed, "<u4").astype(np.int64))
-        gram, count = _summed(np.concatenate(keys), np.concatenate(counts))
-        rows = []
-        for depth in range(DEPTH, 1, -1):
-            gram, count = _summed(gram & np.uint64((1 << 8 * (depth + 1)) - 1), count)
-            context = gram >> np.uint64(8)
-            first = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
-            total = np.repeat(np.add.reduceat(count, first), np.diff(np.append(first, len(gram))))
-            on = (total >= least) | (depth == 2)
-            rows.append((depth, gram[on].tobytes(), count[on].tobytes()))
-        columns = zip(*rows, strict=True)
-        kinds = (pa.int32(), pa.binary(), pa.binary())
-        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["depth", "keys", "counts"])
+    def rows(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["gram", "c"])
 
-    return counted.groupBy("part").applyInArrow(work, "depth int, keys binary, counts binary")
+    return strings.mapInArrow(work, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
 
 
 # ---------------------------------------------------------------- the tree
@@ -147,113 +164,166 @@ def _kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return _lgamma(zeros + 0.5) + _lgamma(ones + 0.5) - _lgamma(zeros + ones + 1) - np.log(np.pi)
 
 
-def _splits(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(zeros, ones) at the 255 binary decisions of a byte; decision m leads on to 2m and 2m + 1."""
-    tree = np.zeros((len(counts), 512))
-    tree[:, 256:] = counts
-    for m in range(255, 0, -1):
-        tree[:, m] = tree[:, 2 * m] + tree[:, 2 * m + 1]
-    return tree[:, 0:512:2][:, :256], tree[:, 1:512:2][:, :256]
+def _decisions(gram: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, bits): context and first k bits of the symbol (after a leading one), and the symbol's next bit."""
+    symbol = gram & np.uint64(255)
+    node = (gram & ~np.uint64(255)) | ((symbol | np.uint64(256)) >> np.uint64(8 - k))
+    return node, (symbol >> np.uint64(7 - k)) & np.uint64(1)
 
 
-class Tree:
-    """The mixed prediction of every kept context, as log10 probabilities of the next symbol."""
+class Level:
+    """Estimates at one depth: for each of the eight decisions its nodes, chances of a one, and shares of the own estimate.
 
-    def __init__(self, grams: dict[int, tuple[np.ndarray, np.ndarray]], least: float):
-        """`grams[depth]` = (sorted context << 8 | symbol, count) for depths 2 to DEPTH."""
-        levels: list[tuple[np.ndarray, np.ndarray]] = []
-        two = grams.get(2, (np.empty(0, np.uint64), np.empty(0, np.int64)))
-        for depth in range(DEPTH + 1):
-            if depth < 2:
-                key, count = _summed(two[0] & np.uint64((1 << 8 * (depth + 1)) - 1), two[1])
+    `weighted` holds the log weighted probability of each node for the depth above.
+    """
+
+    def __init__(self, gram: np.ndarray, count: np.ndarray, depth: int, below: "Level | None"):
+        """`gram` are sorted distinct (context << 8 | symbol) with counts; `below` is None at the greatest depth."""
+        self.depth, self.nodes, self.one, self.own, self.share, self.weighted = depth, [], [], [], [], []
+        mask = np.uint64((1 << 8 * (depth + 1)) - 1)
+        for k in range(8):
+            node, bit = _decisions(gram, k)
+            first = np.flatnonzero(np.append(True, node[1:] != node[:-1])) if len(node) else np.empty(0, np.int64)
+            node = node[first]
+            ones = np.add.reduceat(count * bit.astype(float), first) if len(first) else np.empty(0)
+            zeros = np.add.reduceat(count.astype(float), first) - ones if len(first) else np.empty(0)
+            own = _kt(zeros, ones)
+            if below is None:
+                weighted, share = own, np.ones(len(own))
             else:
-                key, count = grams.get(depth, two if depth == 2 else (np.empty(0, np.uint64), np.empty(0, np.int64)))
-            contexts, place = np.unique(key >> np.uint64(8), return_inverse=True)
-            table = np.zeros((len(contexts), 256))
-            table[place, (key & np.uint64(255)).astype(np.int64)] = count
-            if depth == 0 and not len(contexts):
-                contexts, table = np.zeros(1, np.uint64), np.zeros((1, 256))
-            on = (table.sum(axis=1) >= least) | (depth == 0)
-            levels.append((contexts[on], table[on]))
-        parents = [np.empty(0, np.int64)]
-        for depth in range(1, DEPTH + 1):
-            parents.append(np.searchsorted(levels[depth - 1][0], levels[depth][0] & np.uint64((1 << 8 * (depth - 1)) - 1)))
-        # upwards: weighted probability of what each context has seen, and the share of its own estimate in it
-        own: list[np.ndarray] = [np.empty(0)] * (DEPTH + 1)
-        rest: list[np.ndarray] = [np.empty(0)] * (DEPTH + 1)
-        below = None
-        for depth in range(DEPTH, -1, -1):
-            zeros, ones = _splits(levels[depth][1])
-            estimate = _kt(zeros, ones)
-            split, left = np.zeros(len(zeros), bool), levels[depth][1].copy()
-            weighted = estimate.copy()
-            if below is not None and len(parents[depth + 1]):
-                at = parents[depth + 1]
-                split[at] = True
-                np.subtract.at(left, at, levels[depth + 1][1])
-                children = _kt(*_splits(left))
-                np.add.at(children, at, below)
-                weighted[split] = (np.logaddexp(estimate, children) - np.log(2))[split]
-            own[depth] = np.where(split[:, None], np.exp(estimate - np.log(2) - weighted), 1.0).astype(np.float32)
-            zeros, ones = _splits(left)
-            rest[depth] = ((ones + 0.5) / (zeros + ones + 1)).astype(np.float32)
-            below = weighted
-        # downwards: mix the estimates along the path
-        self.log10, self.step, offset = [], [], 1
-        path = leftover = None
-        for depth in range(DEPTH + 1):
-            zeros, ones = _splits(levels[depth][1])
-            estimate = (ones + 0.5) / (zeros + ones + 1)
-            before = np.zeros_like(estimate) if path is None else path[parents[depth]]
-            open_share = np.ones_like(estimate) if leftover is None else leftover[parents[depth]]
-            path = before + open_share * own[depth] * estimate
-            leftover = open_share * (1 - own[depth])
-            self.log10.append(self._bytes(path + leftover * rest[depth]).astype(np.float32))
-            if depth:
-                child = np.zeros((1 + len(levels[depth - 1][0]), 256), np.int32)
-                child[parents[depth] + 1, (levels[depth][0] >> np.uint64(8 * (depth - 1))).astype(np.int64)] = np.arange(1, len(parents[depth]) + 1)
-                self.step.append(child)
-            offset += len(levels[depth][0])
-        sizes = [len(x) for x in self.log10]
-        self.offset = (np.cumsum(sizes) - sizes).astype(np.int64)
-        self.log10 = np.concatenate(self.log10)
-
-    @staticmethod
-    def _bytes(one: np.ndarray) -> np.ndarray:
-        """Log10 probability of all 256 symbols from the probabilities of a one at each decision."""
-        log = np.zeros((len(one), 512))
-        for m in range(1, 256):
-            log[:, 2 * m] = log[:, m] + np.log(1 - one[:, m])
-            log[:, 2 * m + 1] = log[:, m] + np.log(one[:, m])
-        return log[:, 256:] / _LN10
-
-    def scores(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(log10 probability, symbols) of each text."""
-        buffer, lengths = _symbols(texts)
-        ends = np.cumsum(lengths + DEPTH)
-        value = np.zeros(len(buffer), np.float32)
-        for at in range(DEPTH, int(ends[-1]) if len(ends) else 0, _PIECE):
-            to = min(at + _PIECE, int(ends[-1]))
-            row = np.zeros(to - at, np.int64)
-            node = np.ones(to - at, np.int64)
-            for depth in range(1, DEPTH + 1):
-                node = self.step[depth - 1][node, buffer[at - depth : to - depth]].astype(np.int64)
-                row = np.where(node > 0, node - 1 + self.offset[depth], row)
-            value[at:to] = self.log10[row, buffer[at:to]]
-        total = [float(value[e - n : e].sum(dtype=np.float64)) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
-        return np.array(total), lengths
-
-
-def fit(texts: DataFrame) -> Tree:
-    """The tree of all texts of a one-column frame."""
-    counted = materialise(gram_counts(texts), "grams")
-    total = counted.agg(F.sum("n").alias("n")).first()["n"] or 0
-    least = max(1.0, total * NODE_SHARE)
-    grams: dict[int, list] = {}
-    for row in kept_contexts(counted, least).toLocalIterator():  # bounded: see the head of this module
-        grams.setdefault(row["depth"], []).append((np.frombuffer(row["keys"], "<u8"), np.frombuffer(row["counts"], np.int64)))
-    joined = {d: _summed(np.concatenate([k for k, _ in v]), np.concatenate([c for _, c in v])) for d, v in grams.items()}
-    return Tree(joined, least)
+                parent = np.searchsorted(node, below.nodes[k] & mask)
+                children = np.bincount(parent, below.weighted[k], len(node)) if len(node) else own
+                weighted = np.logaddexp(own, children) - _LN2
+                share = np.exp(own - _LN2 - weighted)
+            self.nodes.append(node)
+            self.one.append((ones + 0.5) / (zeros + ones + 1))
+            self.own.append(own)
+            self.share.append(share)
+            self.weighted.append(weighted)
+
+
+def levels(gram: np.ndarray, count: np.ndarray, low: int, high: int, below: Level | None = None) -> list[Level]:
+    """Levels of depth `low` to `high` from sorted distinct strings of `high` bytes of context and a symbol."""
+    found: list[Level] = []
+    for depth in range(high, low - 1, -1):
+        gram, count = _summed(gram & np.uint64((1 << 8 * (depth + 1)) - 1), count)
+        below = Level(gram, count, depth, below)
+        found.append(below)
+    return found[::-1]
+
+
+def log10_of(gram: np.ndarray, path: list[Level]) -> np.ndarray:
+    """Log10 probability of each string's symbol, mixed over the levels (depth 0 to DEPTH)."""
+    total = np.zeros(len(gram))
+    for k in range(8):
+        one, free, live = np.zeros(len(gram)), np.ones(len(gram)), np.arange(len(gram))
+        asked, bit = _decisions(gram, k)
+        for level in path:
+            node = asked[live] & np.uint64((1 << 8 * (level.depth + 1)) - 1)
+            at = np.searchsorted(level.nodes[k], node)
+            hit = at < len(level.nodes[k])
+            hit[hit] = level.nodes[k][at[hit]] == node[hit]
+            live, at = live[hit], at[hit]
+            one[live] += free[live] * level.share[k][at] * level.one[k][at]
+            free[live] *= 1 - level.share[k][at]
+        one += 0.5 * free
+        total += np.log10(np.where(bit == 1, one, 1 - one))
+    return total
+
+
+def top_levels(grams: DataFrame) -> list[Level]:
+    """Levels of depth 0 to TOP from rows (part, gram, c): at most 2^16 contexts of TOP bytes reach the driver."""
+
+    def work(table: pa.Table) -> pa.Table:
+        gram, count = _learnt(table)
+        if not len(gram):
+            return pa.table([pa.array([], pa.int32()), *[pa.array([], pa.binary())] * 2], names=["k", "nodes", "weighted"])
+        root = levels(gram, count, TOP, DEPTH)[0]
+        string, times = _summed(gram & np.uint64((1 << 8 * (TOP + 1)) - 1), count)
+        rows = [(k, n.tobytes(), w.tobytes()) for k, (n, w) in enumerate(zip(root.nodes, root.weighted, strict=True))]
+        rows.append((8, string.tobytes(), times.tobytes()))
+        kinds = (pa.int32(), pa.binary(), pa.binary())
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+        return pa.table(columns, names=["k", "nodes", "weighted"])
+
+    nodes: list[list] = [[np.empty(0, np.uint64)] for _ in range(9)]
+    weights: list[list] = [[np.empty(0)] for _ in range(8)] + [[np.empty(0, np.int64)]]
+    for row in grams.groupBy("part").applyInArrow(work, "k int, nodes binary, weighted binary").toLocalIterator():
+        nodes[row["k"]].append(np.frombuffer(row["nodes"], np.uint64))
+        weights[row["k"]].append(np.frombuffer(row["weighted"], np.int64 if row["k"] == 8 else np.float64))
+    gram, count = _summed(np.concatenate(nodes[8]), np.concatenate(weights[8]))
+    last = Level(gram, count, TOP, None)
+    for k in range(8):
+        node, weighted = np.concatenate(nodes[k]), np.concatenate(weights[k])
+        last.weighted[k] = weighted[np.argsort(node)]
+        last.share[k] = np.exp(last.own[k] - _LN2 - last.weighted[k])
+    return [*levels(gram, count, 0, TOP - 1, last), last]
+
+
+def _learnt(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted strings of a part that training texts hold, with counts."""
+    gram = table.column("gram").to_numpy().view(np.uint64)
+    count = table.column("c").to_numpy()
+    return _summed(gram[count > 0], count[count > 0])
+
+
+def answers(grams: DataFrame, top: list[Level]) -> DataFrame:
+    """Rows (part, grams, log10): the probability of every string of the rows (part, gram, c), sorted, packed by part."""
+    sent = grams.sparkSession.sparkContext.broadcast(top)
+
+    def work(table: pa.Table) -> pa.Table:
+        lower = levels(*_learnt(table), TOP + 1, DEPTH)
+        asked = np.sort(table.column("gram").to_numpy().view(np.uint64))
+        value = log10_of(asked, [*sent.value, *lower]).astype("<f4")
+        columns = [table.column("part")[:1], pa.array([_pack(asked)], pa.binary()), pa.array([value.tobytes()], pa.binary())]
+        return pa.table(columns, names=["part", "grams", "log10"])
+
+    return grams.groupBy("part").applyInArrow(work, "part int, grams binary, log10 binary")
+
+
+def chunk_answers(strings: DataFrame, known: DataFrame, parts: int) -> DataFrame:
+    """Rows (chunk, grams, log10) for rows (chunk, grams) and the packed answers of all parts."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, planes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                gram = _unpack(planes)
+                part = _part_of(gram, parts)
+                gram = gram[np.argsort(part, kind="stable")]
+                sizes = np.bincount(part, minlength=parts)
+                at = np.cumsum(sizes) - sizes
+                on = np.flatnonzero(sizes)
+                packs = [_pack(gram[at[p] : at[p] + sizes[p]]) for p in on.tolist()]
+                columns = [pa.array(on, pa.int32()), pa.array([chunk] * len(on), pa.int64()), pa.array(packs, pa.binary()), pa.nulls(len(on), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "chunk", "grams", "log10"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, values = np.empty(0, np.uint64), np.empty(0, "<f4")
+        for batch in batches:
+            rows = []
+            for _, chunk, planes, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if packed is not None:  # the part's answers stand before its questions
+                    keys, values = _unpack(planes), np.frombuffer(packed, "<f4")
+                else:
+                    rows.append((chunk, planes, values[np.searchsorted(keys, _unpack(planes))].tobytes()))
+            if rows:
+                columns = zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["chunk", "grams", "log10"])
+
+    asked = strings.mapInArrow(split, "part int, chunk long, grams binary, log10 binary")
+    given = known.select("part", F.lit(None).cast("long").alias("chunk"), "grams", "log10")
+    met = given.union(asked).repartition("part").sortWithinPartitions("part", F.col("chunk").asc_nulls_first())
+    return met.mapInArrow(answer, "chunk long, grams binary, log10 binary")
+
+
+def text_log10(texts: list[bytes], keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log10 probability, symbols) of each text, given those of all its strings."""
+    gram, lengths = _grams(texts), np.array([len(b" ".join(plain(t))) + 1 for t in texts], np.int64)
+    value = np.empty(len(gram), np.float32)
+    for at in range(0, len(gram), _PIECE):
+        value[at : at + _PIECE] = values[np.searchsorted(keys, gram[at : at + _PIECE])]
+    ends = np.cumsum(lengths)
+    return np.array([float(value[e - n : e].sum(dtype=np.float64)) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]), lengths
 
 
 # ---------------------------------------------------------------- words and scores
@@ -291,23 +361,51 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     in the worker, all others are joined.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), held_out(F.col(id_col)).alias("held_out"))
-    training = rows.where(~F.col("held_out")).select("text")
-    words = materialise(word_counts(training), "words")
+    words = materialise(word_counts(rows.where(~F.col("held_out")).select("text")), "words")
     sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     tokens, kinds = sums["n"], sums["v"]
     limit = max(1, int(tokens * WORD_SHARE))
     common = {bytes(r["word"]): r["c"] for r in words.where(F.col("c") > limit).toLocalIterator()}
-    sent = docs.sparkSession.sparkContext.broadcast((common, fit(training)))
+    sent = docs.sparkSession.sparkContext.broadcast(common)
+
+    dealt = materialise(chunks(rows), "chunks")
+    strings = dealt.where("grams is not null")
+    counted = materialise(gram_counts(strings.select("grams", "counts")), "grams")
+    parts = min(1 << 8 * TOP, max(64, counted.count() // PART))
+    context = F.shiftrightunsigned("gram", 8).bitwiseAND((1 << 8 * TOP) - 1)
+    placed = counted.withColumn("part", F.shiftrightunsigned((context * 40503).bitwiseAND(0xFFFF) * parts, 16).cast("int"))
+    known = answers(placed, top_levels(placed))
+    told = chunk_answers(strings.select("chunk", "grams"), known, parts)
+    nothing = F.lit(None)
+    rows = told.select("chunk", nothing.cast(dict(rows.dtypes)["id"]).alias("id"), nothing.cast("string").alias("text"), nothing.cast("boolean").alias("held_out"), "grams", "log10").union(
+        dealt.where("grams is null").select("chunk", "id", "text", "held_out", nothing.cast("binary"), nothing.cast("binary"))
+    )
+    rows = rows.repartition("chunk").sortWithinPartitions("chunk", F.col("grams").isNull())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, tree = sent.value
+        now, held, keys, values = None, [], np.empty(0, np.uint64), np.empty(0, "<f4")
         for batch in batches:
-            for at in range(0, batch.num_rows, _ROWS):
-                yield scored(batch.slice(at, _ROWS), known, tree)
-
-    def scored(batch: pa.RecordBatch, known: dict[bytes, int], tree: Tree) -> pa.RecordBatch:
-        texts = text_bytes(batch.column(1))
-        value, symbols = tree.scores(texts)
+            chunk = batch.column(0).to_numpy()
+            question = batch.column(4).is_null().to_numpy(zero_copy_only=False)
+            turn = np.flatnonzero((chunk[1:] != chunk[:-1]) | (question[1:] != question[:-1])) + 1
+            for at, to in zip([0, *turn.tolist()], [*turn.tolist(), batch.num_rows], strict=True):
+                part = batch.slice(at, to - at)
+                if at < to and not question[at]:
+                    if chunk[at] != now:
+                        now, held = chunk[at], []
+                    packs = zip(part.column(4).to_pylist(), part.column(5).to_pylist(), strict=True)
+                    held += [(_unpack(planes), np.frombuffer(packed, "<f4")) for planes, packed in packs]
+                    continue
+                if held:
+                    keys = np.concatenate([k for k, _ in held])
+                    order = np.argsort(keys)
+                    keys, values, held = keys[order], np.concatenate([v for _, v in held])[order], []
+                for row in range(0, part.num_rows, _ROWS):
+                    yield scored(part.slice(row, _ROWS), sent.value, keys, values)
+
+    def scored(batch: pa.RecordBatch, known: dict[bytes, int], keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+        texts = text_bytes(batch.column(2))
+        value, symbols = text_log10(texts, keys, values)
         n_tokens, n_common, log_common, rare, times = [], [], [], [], []
         for text in texts:
             held = Counter(plain(text))
@@ -320,8 +418,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             rare.append([w for w, _ in rest])
             times.append([n for _, n in rest])
         columns = [
-            batch.column(0),
-            batch.column(2),
+            batch.column(1),
+            batch.column(3),
             pa.array(n_tokens, pa.int64()),
             pa.array(n_common, pa.int64()),
             pa.array(log_common, pa.float64()),

@@ -204,18 +204,17 @@ def weighted(texts, depth, context=b""):
     return split
 
 
-def test_tree_mixes_all_depths():
-    lines = [b"abab abba", b"ab", b"", b"baba abab ab"]
-    grams = {}
-    for depth in range(2, ctw.DEPTH + 1):
-        rows = Counter()
-        for context, symbols in weighted(lines, depth).items():
-            for symbol, n in symbols.items():
-                rows[int.from_bytes(context + bytes([symbol]), "big")] += n
-        keys = np.array(sorted(rows), np.uint64)
-        grams[depth] = (keys, np.array([rows[int(k)] for k in keys]))
-    tree = ctw.Tree(grams, 1.0)
-    assert np.allclose((10.0 ** tree.log10.astype(float)).sum(axis=1), 1, atol=1e-5)
+def test_tree_mixes_all_depths(spark):
+    def rows(out, texts):
+        fold = [i for i in range(1000) if (zlib.crc32(str(i).encode()) % 5 == 1) == out]
+        return [(i, t.decode()) for i, t in zip(fold, texts)]
+
+    lines = [b"abab abba", b"ab", b"", b"baba abab ab"] * 3 + [b"zzz a"]
+    grams, counts = np.unique(ctw._grams(lines), return_counts=True)
+    path = ctw.levels(grams, counts, 0, ctw.DEPTH)
+    for context in (0, int.from_bytes(b" abab", "big"), int.from_bytes(b"abzab", "big")):
+        following = np.arange(256, dtype=np.uint64) | np.uint64(context << 8)
+        assert (10.0 ** ctw.log10_of(following, path)).sum() == pytest.approx(1)
 
     def kt(a, b):
         return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
@@ -257,8 +256,11 @@ def test_tree_mixes_all_depths():
                 total += math.log10(one if bits[k] == "1" else 1 - one)
         return total
 
-    texts = [b"abab", b"b a", b""]
-    assert tree.scores(texts)[0] == pytest.approx([log10(t) for t in texts], rel=1e-4)
+    texts = [b"abab", b"b a", b"", b"zab abz"]
+    docs = spark.createDataFrame(rows(False, lines) + rows(True, texts), "doc_id long, text string").repartition(3)
+    got = {r["id"]: r["score"] for r in ctw.score(docs).collect()}
+    want = {i: log10(t.encode()) for i, t in rows(False, lines) + rows(True, texts)}
+    assert got == pytest.approx(want, rel=1e-5)
 
 
 # ---------------------------------------------------------------- toxicity
