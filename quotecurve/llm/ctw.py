@@ -19,6 +19,7 @@ from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,12 +74,30 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
 
 
+def _squeeze(plain_bytes: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(plain_bytes)
+
+
+def _expand(squeezed: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(squeezed)
+
+
 def _pack(grams: np.ndarray) -> bytes:
     """Byte planes of the numbers, highest byte first; sorted numbers so compress well."""
-    return np.ascontiguousarray(grams.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - DEPTH - 1 :].T).tobytes()
+    return _squeeze(np.ascontiguousarray(grams.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - DEPTH - 1 :].T).tobytes())
+
+
+def _pack_values(values: np.ndarray) -> bytes:
+    """Byte planes of single-precision numbers."""
+    return _squeeze(np.ascontiguousarray(values.astype("<f4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _unpack_values(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(_expand(planes), np.uint8).reshape(4, -1).T).view("<f4").ravel()
 
 
 def _unpack(planes: bytes) -> np.ndarray:
+    planes = _expand(planes)
     n = len(planes) // (DEPTH + 1)
     wide = np.zeros((n, 8), np.uint8)
     wide[:, 8 - DEPTH - 1 :] = np.frombuffer(planes, np.uint8).reshape(DEPTH + 1, n).T
@@ -92,7 +111,7 @@ def _part_of(gram: np.ndarray, parts: int) -> np.ndarray:
 
 
 def chunks(rows: DataFrame) -> DataFrame:
-    """The rows (id, text, held_out) with the chunk they are in, and a row for each chunk with only its strings.
+    """The rows (id, text, held_out), texts compressed, with the chunk they are in, and a row for each chunk with only its strings.
 
     Such a row holds the distinct strings of all texts of the chunk and how often the training texts hold them.
     """
@@ -109,24 +128,26 @@ def chunks(rows: DataFrame) -> DataFrame:
                 held.append((_grams([t for t, o in zip(texts, out, strict=True) if o]), False))
                 size += len(held[-1][0]) + len(held[-2][0])
                 nothing = pa.nulls(part.num_rows, pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([chunk] * part.num_rows, pa.int64()), *part.columns, nothing, nothing], names=names)
+                squeezed = pa.array([_squeeze(t) for t in texts], pa.binary())
+                columns = [pa.array([chunk] * part.num_rows, pa.int64()), part.column(0), squeezed, part.column(2), nothing, nothing]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
                 if size >= _FLUSH:
-                    yield packed(chunk, held, part.schema)
+                    yield packed(chunk, held, part.column(0).type)
                     chunk, held, size = uuid4().int >> 65, [], 0
         if size:
-            yield packed(chunk, held, part.schema)
+            yield packed(chunk, held, part.column(0).type)
 
-    def packed(chunk: int, held: list, schema: pa.Schema) -> pa.RecordBatch:
+    def packed(chunk: int, held: list, id_type: pa.DataType) -> pa.RecordBatch:
         grams, counts = np.unique(np.concatenate([g for g, _ in held]), return_counts=True)
         unseen = np.concatenate([g for g, learnt in held if not learnt])
         keys, times = np.unique(unseen, return_counts=True)
         counts[np.searchsorted(grams, keys)] -= times
-        columns = [pa.array([chunk], pa.int64()), *(pa.nulls(1, f.type) for f in schema)]
+        columns = [pa.array([chunk], pa.int64()), pa.nulls(1, id_type), pa.nulls(1, pa.binary()), pa.nulls(1, pa.bool_())]
         columns += [pa.array([_pack(grams)], pa.binary()), pa.array([counts.astype("<u4").tobytes()], pa.binary())]
         return pa.RecordBatch.from_arrays(columns, names=names)
 
     names = ["chunk", "id", "text", "held_out", "grams", "counts"]
-    return rows.mapInArrow(work, f"chunk long, id {kind}, text string, held_out boolean, grams binary, counts binary")
+    return rows.mapInArrow(work, f"chunk long, id {kind}, text binary, held_out boolean, grams binary, counts binary")
 
 
 def gram_counts(strings: DataFrame) -> DataFrame:
@@ -274,8 +295,8 @@ def answers(grams: DataFrame, top: list[Level]) -> DataFrame:
     def work(table: pa.Table) -> pa.Table:
         lower = levels(*_learnt(table), TOP + 1, DEPTH)
         asked = np.sort(table.column("gram").to_numpy().view(np.uint64))
-        value = log10_of(asked, [*sent.value, *lower]).astype("<f4")
-        columns = [table.column("part")[:1], pa.array([_pack(asked)], pa.binary()), pa.array([value.tobytes()], pa.binary())]
+        value = log10_of(asked, [*sent.value, *lower])
+        columns = [table.column("part")[:1], pa.array([_pack(asked)], pa.binary()), pa.array([_pack_values(value)], pa.binary())]
         return pa.table(columns, names=["part", "grams", "log10"])
 
     return grams.groupBy("part").applyInArrow(work, "part int, grams binary, log10 binary")
@@ -303,9 +324,9 @@ def chunk_answers(strings: DataFrame, known: DataFrame, parts: int) -> DataFrame
             rows = []
             for _, chunk, planes, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if packed is not None:  # the part's answers stand before its questions
-                    keys, values = _unpack(planes), np.frombuffer(packed, "<f4")
+                    keys, values = _unpack(planes), _unpack_values(packed)
                 else:
-                    rows.append((chunk, planes, values[np.searchsorted(keys, _unpack(planes))].tobytes()))
+                    rows.append((chunk, planes, _pack_values(values[np.searchsorted(keys, _unpack(planes))])))
             if rows:
                 columns = zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["chunk", "grams", "log10"])
@@ -377,7 +398,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     known = answers(placed, top_levels(placed))
     told = chunk_answers(strings.select("chunk", "grams"), known, parts)
     nothing = F.lit(None)
-    rows = told.select("chunk", nothing.cast(dict(rows.dtypes)["id"]).alias("id"), nothing.cast("string").alias("text"), nothing.cast("boolean").alias("held_out"), "grams", "log10").union(
+    rows = told.select("chunk", nothing.cast(dict(rows.dtypes)["id"]).alias("id"), nothing.cast("binary").alias("text"), nothing.cast("boolean").alias("held_out"), "grams", "log10").union(
         dealt.where("grams is null").select("chunk", "id", "text", "held_out", nothing.cast("binary"), nothing.cast("binary"))
     )
     rows = rows.repartition("chunk").sortWithinPartitions("chunk", F.col("grams").isNull())
@@ -394,7 +415,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                     if chunk[at] != now:
                         now, held = chunk[at], []
                     packs = zip(part.column(4).to_pylist(), part.column(5).to_pylist(), strict=True)
-                    held += [(_unpack(planes), np.frombuffer(packed, "<f4")) for planes, packed in packs]
+                    held += [(_unpack(planes), _unpack_values(packed)) for planes, packed in packs]
                     continue
                 if held:
                     keys = np.concatenate([k for k, _ in held])
@@ -404,7 +425,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                     yield scored(part.slice(row, _ROWS), sent.value, keys, values)
 
     def scored(batch: pa.RecordBatch, known: dict[bytes, int], keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-        texts = text_bytes(batch.column(2))
+        texts = [_expand(t) for t in batch.column(2).to_pylist()]
         value, symbols = text_log10(texts, keys, values)
         n_tokens, n_common, log_common, rare, times = [], [], [], [], []
         for text in texts:
