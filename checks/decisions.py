@@ -306,10 +306,25 @@ FROM prepared c JOIN prepared t ON t.product = c.product AND t.cents = c.cents""
 def with_actuals(spark, folder):
     rows = prepared_rows(spark, folder)
     bare = observed_curve(rows).drop("revenue_actual")
-    out = rep.with_actuals(bare, rows)
+    out = rep.with_actuals(bare, rows, fan_out=True)
     return rounded(out.select(*KEY, "revenue_actual", "actual_revenue_scaled"), revenue_actual=4, actual_revenue_scaled=4)
 
 
+@check(
+    "j14_predictions_with_summed_actuals",
+    f"""SELECT {', '.join('c.' + k for k in KEY)}, round(t.revenue, 4) AS revenue_actual, round(t.units, 4) AS units_actual,
+round(t.scaled, 3) AS actual_revenue_scaled
+FROM prepared c JOIN (SELECT product, cents, sum(cents / 100.0::DOUBLE * shipped_units) AS revenue, sum(shipped_units)::DOUBLE AS units,
+  sum(cents / 100.0::DOUBLE * (1 - greatest(coalesce(deal_discount_percent, 0), 0) / 100.0::DOUBLE) * shipped_units) AS scaled
+  FROM prepared GROUP BY product, cents) t USING (product, cents)""",
+)
+def with_summed_actuals(spark, folder):
+    rows = prepared_rows(spark, folder)
+    out = rep.with_actuals(observed_curve(rows).drop("revenue_actual"), rows)
+    out = out.select(*KEY, "revenue_actual", "units_actual", "actual_revenue_scaled")
+    return rounded(out, revenue_actual=4, units_actual=4, actual_revenue_scaled=3)
+
+
 @check(
     "j15_item_lookup_texts",
     """SELECT b.item_id, b.product, '$' || format('{:,.2f}', c.current_price) AS current_price, '$' || format('{:,.2f}', b.asp) AS recommended_price

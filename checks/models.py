@@ -5,6 +5,7 @@ from functools import lru_cache
 
 from pyspark.sql import functions as F
 
+from quotecurve.functions.money import to_cents
 from quotecurve.functions.text import money_text
 from quotecurve.operators import curve as crv
 from quotecurve.operators import tuning as tun
@@ -135,6 +136,39 @@ def seeds(spark, folder):
     return tun.pick_seeds(coarse_scores(spark, folder))
 
 
+@check(
+    "t06_seeds_of_price_scores",
+    """SELECT n_splines, lam_prime, loss FROM (SELECT CAST(count(DISTINCT cents) AS INTEGER) AS n_splines, min(cents)::DOUBLE AS lam_prime,
+  max(cents)::DOUBLE / min(cents) AS loss FROM thick GROUP BY product)
+QUALIFY loss <= 1.25 * min(loss) OVER () AND row_number() OVER (ORDER BY loss, n_splines, lam_prime) <= 3""",
+)
+def price_score_seeds(spark, folder):
+    """Seeds from scores that follow from each product's prices."""
+    cents = to_cents(F.col("price"))
+    scores = thick_rows(spark, folder).groupBy("product").agg(
+        F.countDistinct(cents).cast("int").alias("n_splines"),
+        F.min(cents).cast("double").alias("lam_prime"),
+        (F.max(cents).cast("double") / F.min(cents)).alias("loss"),
+    )
+    return tun.pick_seeds(scores.drop("product"))
+
+
+@check(
+    "c10_zoom_grid_of_prices",
+    """SELECT product, CAST(i AS INTEGER) AS place, round(log10(lo) + (log10(hi) - log10(lo)) * i / 8.0::DOUBLE, 8) AS log_value
+FROM (SELECT product, greatest(c / 5.0::DOUBLE, {floor}) AS lo, least(c * 5.0::DOUBLE, {ceiling}) AS hi
+  FROM (SELECT product, greatest(pow(10.0::DOUBLE, min(cents) / 100000.0::DOUBLE - 3), {floor}) AS c FROM thick GROUP BY product)), range(9) r(i)""".format(
+        floor=f"{tun.LAMBDA_FLOOR!r}::DOUBLE", ceiling=f"{tun.LAMBDA_CEILING!r}::DOUBLE"
+    ),
+)
+def zoom_grid(spark, folder):
+    """Zoom bounds and grid around a smoothing that follows from each product's lowest price."""
+    low = thick_rows(spark, folder).groupBy("product").agg(F.min(to_cents(F.col("price"))).alias("cents"))
+    grid = tun.log_grid(*tun.zoom_bounds(F.pow(F.lit(10.0), F.col("cents") / 100000.0 - 3)), tun.ZOOM_POINTS)
+    each = low.select("product", F.posexplode(grid).alias("place", "value"))
+    return each.select("product", "place", F.round(F.log10("value"), 8).alias("log_value"))
+
+
 @check("m04_zoom_search")
 def zoom_search(spark, folder):
     return tun.tune(top_rows(spark, folder))

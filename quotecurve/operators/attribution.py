@@ -55,8 +55,16 @@ def with_promo_price(windowed: DataFrame, base: DataFrame, dedupe: bool = False)
         .groupBy(F.col("item_id").alias("promo_item"), "start_ts", "end_ts", "promo_price", "discount_percent")
         .agg(F.count(F.lit(1)).alias("copies"))
     )
-    slots = F.sequence(_slot(F.to_date("start_ts")), _slot(F.to_date("end_ts")))
-    terms = terms.withColumn("promo_slot", F.explode(slots))
+    # only days with sales matter, so a promotion without a real end gets no more slots than they span
+    span = windowed.agg(F.struct(F.min("order_date").alias("first"), F.max("order_date").alias("last")).alias("span"))
+    terms = (
+        terms.withColumn("span", span.scalar())
+        .withColumn("from", F.greatest(F.to_date("start_ts"), F.col("span.first")))
+        .withColumn("to", F.least(F.to_date("end_ts"), F.col("span.last")))
+        .where(F.col("span.first").isNotNull() & (F.col("from") <= F.col("to")))
+        .withColumn("promo_slot", F.explode(F.sequence(_slot(F.col("from")), _slot(F.col("to")))))
+        .drop("span", "from", "to")
+    )
     sales = windowed.withColumn(
         "sale_slot", F.when(F.col("window_event").isNotNull(), _slot(F.col("order_date")))
     )

@@ -1,18 +1,21 @@
-"""Exact global ranks and codes without pulling all values into one task."""
+"""Exact ranks, quantiles and codes without pulling all values of a group into one task."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Number of cut values; each of the buckets between them is ranked by its own task.
 CUTS = 256
 
 
-def ranked_values(values: DataFrame, column: str, count_column: str, cuts: int = CUTS) -> DataFrame:
-    """Rank distinct values: adds `code` (distinct values below) and `below` (rows below).
+def ranked_values(
+    values: DataFrame, column: str, count_column: str, cuts: int = CUTS, by: tuple[str, ...] = ()
+) -> DataFrame:
+    """Rank distinct values (of each group): adds `code` (distinct values below) and `below` (rows below).
 
     Cut values picked by hash split the value range into ordered buckets. Ranks are taken
     inside each bucket and shifted by the totals of the lower buckets. Only the cut list
-    and the bucket totals (at most `cuts` + 1 rows) are shared between tasks.
+    and the bucket totals (at most `cuts` + 1 rows, for each group where there are groups)
+    are shared between tasks.
     """
     cut_list = (
         values.select(column)
@@ -25,19 +28,20 @@ def ranked_values(values: DataFrame, column: str, count_column: str, cuts: int =
         .withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c <= F.col(column))))
         .drop("_cuts")
     )
-    lower = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    lower = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        bucketed.groupBy("_bucket")
+        bucketed.groupBy(*by, "_bucket")
         .agg(F.count(F.lit(1)).alias("_values"), F.sum(count_column).alias("_rows"))
         .select(
+            *by,
             "_bucket",
             F.coalesce(F.sum("_values").over(lower), F.lit(0)).alias("_values_below"),
             F.coalesce(F.sum("_rows").over(lower), F.lit(0)).alias("_rows_below"),
         )
     )
-    inside = Window.partitionBy("_bucket").orderBy(column)
+    inside = Window.partitionBy(*by, "_bucket").orderBy(column)
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
-    ranked = bucketed.join(F.broadcast(offsets), "_bucket")
+    ranked = bucketed.join(offsets if by else F.broadcast(offsets), [*by, "_bucket"])
     return ranked.select(
         *values.columns,
         (F.col("_values_below") + F.row_number().over(inside) - 1).alias("code"),
@@ -57,3 +61,25 @@ def percentile_ranks(rows: DataFrame, column: str, out: str) -> DataFrame:
     total = values.agg(F.sum("_n").alias("total"))
     mean_rank = F.col("below") + (F.col("_n") + F.lit(1)) / F.lit(2)
     return ranked_values(values, column, "_n").select(column, (mean_rank / total.scalar()).alias(out))
+
+
+def quantiles(values: DataFrame, column: str, count_column: str, shares: list[float], by: tuple[str, ...] = ()) -> DataFrame:
+    """(groups, cuts): exact quantiles, linearly interpolated, of distinct values with counts.
+
+    `values` has one row for each group and value. The two rows around a quantile are found by
+    rank, so no task holds the values of a group. No values give null cuts (no row for a group).
+    """
+    totals = values.groupBy(*by).agg(F.sum(count_column).alias("_total"))
+    ranked = ranked_values(values, column, count_column, by=by)
+    ranked = ranked.join(totals, list(by)) if by else ranked.withColumn("_total", totals.scalar())
+    value, end = F.col(column).cast("double"), F.col("below") + F.col(count_column)
+
+    def cut(share: float) -> Column:
+        place = F.lit(share) * (F.col("_total") - 1)
+        low, high = F.floor(place), F.ceil(place)
+        at_low = F.max(F.when((F.col("below") <= low) & (low < end), value))
+        at_high = F.max(F.when((F.col("below") <= high) & (high < end), value))
+        part = F.max(place - low)
+        return F.when(at_low == at_high, at_low).otherwise((1 - part) * at_low + part * at_high)
+
+    return ranked.groupBy(*by).agg(F.array(*[cut(s) for s in shares]).alias("cuts"))

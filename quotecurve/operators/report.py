@@ -7,6 +7,7 @@ from ..functions import text
 from ..functions.events import BASELINE
 from .choose import best_row, nearest_rows, rows_at_price
 from .joins import salted_join
+from .ranks import quantiles
 
 ANNUAL_FACTOR = 365
 TOP_UPSIDES = 12
@@ -96,11 +97,13 @@ def ordered_columns(df: DataFrame, order: list[str] = OPPORTUNITY_ORDER) -> Data
     return df.select(*[c for c in order if c in df.columns])
 
 
-def with_actuals(curve: DataFrame, periods: DataFrame) -> DataFrame:
+def with_actuals(curve: DataFrame, periods: DataFrame, fan_out: bool = False) -> DataFrame:
     """Actual revenue on the curve rows.
 
     A curve that carries it only gets missing values filled; otherwise it is looked up by
-    product and price, with the discount-scaled revenue beside it.
+    product and price, with the discount-scaled revenue beside it. Periods of one product and
+    price are summed first (their discount is the mean weighted by revenue), so each curve row
+    stays one row; `fan_out` repeats it for every such period instead.
     """
     if "revenue_actual" in curve.columns:
         return curve.withColumn("revenue_actual", F.coalesce("revenue_actual", F.lit(0.0)))
@@ -109,6 +112,13 @@ def with_actuals(curve: DataFrame, periods: DataFrame) -> DataFrame:
         "product", price.alias("price"), (price * units).alias("revenue_actual"), units.alias("units_actual"),
         F.greatest(F.coalesce("deal_discount_percent", F.lit(0.0)), F.lit(0.0)).alias("deal_discount_percent"),
     )
+    if not fan_out:
+        cut = F.sum(F.col("revenue_actual") * F.col("deal_discount_percent")) / F.nullif(F.sum("revenue_actual"), F.lit(0.0))
+        actual = actual.groupBy("product", "price").agg(
+            F.sum("revenue_actual").alias("revenue_actual"),
+            F.sum("units_actual").alias("units_actual"),
+            F.coalesce(cut, F.lit(0.0)).alias("deal_discount_percent"),
+        )
     joined = curve.join(actual, ["product", "price"], "left")
     discount = F.coalesce("deal_discount_percent", F.lit(0.0))
     revenue = F.coalesce("revenue_actual", F.lit(0.0))
@@ -372,7 +382,7 @@ def page(df: DataFrame, order: list[Column], number: int, size: int = PAGE_SIZE)
 def unseen_error(rows: DataFrame, actual: str, predicted: str, by: str = "product") -> DataFrame:
     """RMSE of each group, and as a share of the median actual (at least 1)."""
     counts = rows.groupBy(by, actual).agg(F.count(F.lit(1)).alias("n"))
-    middle = counts.groupBy(by).agg(F.percentile(F.col(actual).cast("double"), 0.5, F.col("n")).alias("median"))
+    middle = quantiles(counts.where(F.col(actual).isNotNull()), actual, "n", [0.5], (by,)).select(by, F.col("cuts")[0].alias("median"))
     e = F.col(actual) - F.col(predicted)
     errors = rows.groupBy(by).agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.col("price").cast("double")).alias("mean_price"))
     return errors.join(middle, by).select(
@@ -385,7 +395,9 @@ def unseen_error(rows: DataFrame, actual: str, predicted: str, by: str = "produc
 
 def portfolio_error(errors: DataFrame) -> DataFrame:
     """Median RMSE over all groups."""
-    return errors.agg(F.percentile("rmse", 0.5).alias("median_rmse"), F.count(F.lit(1)).alias("groups"))
+    values = errors.where(F.col("rmse").isNotNull()).groupBy("rmse").agg(F.count(F.lit(1)).alias("n"))
+    median = quantiles(values, "rmse", "n", [0.5]).select(F.col("cuts")[0]).scalar()
+    return errors.agg(F.count(F.lit(1)).alias("groups")).select(median.alias("median_rmse"), "groups")
 
 
 def overview_cards(

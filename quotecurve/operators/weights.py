@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions.money import to_cents
 from ..functions.numeric import WEIGHT_FLOOR, usable_weight
 from .joins import salted_join
+from .ranks import quantiles
 
 # Half-life of an observation in days, clip quantiles, neighbours.
 HALF_LIFE_DAYS = 90
@@ -47,7 +48,7 @@ def time_weight(rows: DataFrame, day: str = "period_start", half_life: float | N
 def normalise_weight(rows: DataFrame, weight: str, clip: tuple[float, float] = CLIP_QUANTILES) -> DataFrame:
     """Divide by the median, clip to two quantiles, repair unusable values."""
     counts = rows.where(F.col(weight).isNotNull()).groupBy(weight).agg(F.count(F.lit(1)).alias("_n"))
-    cuts = counts.agg(F.percentile(weight, [0.5, *clip], F.col("_n")).alias("cuts")).scalar()
+    cuts = quantiles(counts, weight, "_n", [0.5, *clip]).scalar()
     out = rows.withColumn("_cuts", cuts)
     scale = F.when(F.col("_cuts")[0] > 0, F.col("_cuts")[0]).otherwise(1.0)
     low, high = F.col("_cuts")[1] / scale, F.col("_cuts")[2] / scale
@@ -295,7 +296,8 @@ def leverage_cap(weights: DataFrame, cap: float = 2.0, reach: int = 5, by: str =
 def huber_factor(residuals: DataFrame, k: float = 1.345, by: str = "product") -> DataFrame:
     """Adds `huber`: min(1, k / |r / s|), with s the scaled median absolute residual of the group."""
     counts = residuals.groupBy(by, F.abs("residual").alias("size")).agg(F.count(F.lit(1)).alias("n"))
-    scales = counts.groupBy(by).agg((F.percentile("size", 0.5, F.col("n")) * 1.4826).alias("scale"))
+    known = counts.where(F.col("size").isNotNull())
+    scales = quantiles(known, "size", "n", [0.5], (by,)).select(by, (F.col("cuts")[0] * 1.4826).alias("scale"))
     joined = salted_join(residuals, scales, on=[by], spread_by=["item_id", "period_start", "residual"])
     ratio = F.abs("residual") / F.col("scale")
     factor = F.when((F.col("scale") > 0) & (ratio > k), F.lit(k) / ratio).otherwise(1.0)
