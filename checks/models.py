@@ -21,6 +21,7 @@ from .sold import prepared_rows, sales, thick_rows
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 KEY = ["product", "item_id", "period_start", "event_name"]
+LAW_COLUMNS = ["units_p025", "units_p50", "units_p975", "units_bau_p50"]
 
 
 def check(name: str, sql: str | None = None):
@@ -187,6 +188,55 @@ def scored_curve(spark, folder):
     return crv.score_curves(all_rows(spark, folder), models(spark, folder))
 
 
+# Units that follow expm1(2 + log1p(price) / 2) exactly: a line that the penalty leaves alone, so that
+# every expectile of every product is the law itself.
+cte(
+    "law",
+    f"""SELECT t.*, CASE WHEN p.n >= {crv.MIN_PRICES} THEN exp(2.0::DOUBLE + 0.5::DOUBLE * ln(1 + cents / 100.0::DOUBLE)) - 1 END AS law_units
+FROM thick t JOIN (SELECT product, count(DISTINCT cents) AS n FROM thick GROUP BY product) p USING (product)""",
+)
+
+
+@lru_cache
+def law_rows(spark, folder):
+    law = F.expm1(F.lit(2.0) + F.lit(0.5) * F.log1p(F.col("price").cast("double")))
+    return all_rows(spark, folder).withColumn("shipped_units", law)
+
+
+@lru_cache
+def law_models(spark, folder):
+    return materialise(crv.fit_curves(law_rows(spark, folder)), "law_models")
+
+
+@check(
+    "m01_curves_of_exact_law",
+    f"""SELECT {', '.join(KEY)}, round(exp(ln(1 + cents / 100.0::DOUBLE) / 2), 6) AS root, {', '.join(
+        f'CASE WHEN law_units IS NOT NULL THEN 0.0::DOUBLE END AS {c}' for c in LAW_COLUMNS)} FROM law""",
+)
+def curves_of_law(spark, folder):
+    """How far each prediction is from the law, relative to it; rounds stop at steps of 1e-6, so 4 decimals are told."""
+    out = crv.score_curves(law_rows(spark, folder), law_models(spark, folder))
+    law = F.expm1(F.lit(2.0) + F.lit(0.5) * F.log1p(F.col("price").cast("double")))
+    root = F.round(F.sqrt(F.lit(1.0) + F.col("price").cast("double")), 6).alias("root")
+    return out.select(*KEY, root, *[F.round(F.col(c) / law - 1, 4).alias(c) for c in LAW_COLUMNS])
+
+
+@check(
+    "m10_states_of_exact_law",
+    f"""SELECT CASE WHEN n >= {crv.MIN_PRICES} THEN 'fitted' ELSE 'too_few_prices' END AS status, q, count(*) AS n
+FROM (SELECT product, count(DISTINCT cents) AS n FROM thick GROUP BY product), (SELECT unnest({[float(q) for q in crv.EXPECTILES]}::DOUBLE[]) AS q)
+GROUP BY 1, 2""",
+)
+def states_of_law(spark, folder):
+    return law_models(spark, folder).groupBy("status", "q").agg(F.count(F.lit(1)).alias("n"))
+
+
+@check("j23_rows_with_law_models", "SELECT product, count(*) AS n, count(law_units) AS predicted FROM law GROUP BY product")
+def rows_with_law_models(spark, folder):
+    scored = crv.score_curves(law_rows(spark, folder), law_models(spark, folder))
+    return scored.groupBy("product").agg(F.count(F.lit(1)).alias("n"), F.count("units_p50").alias("predicted"))
+
+
 cte(
     "literal_models",
     """SELECT product, ln(1 + min(cents) / 100.0::DOUBLE) AS lo, ln(1 + max(cents) / 100.0::DOUBLE) AS hi, 7 AS ns FROM thick GROUP BY product HAVING min(cents) < max(cents)""",
