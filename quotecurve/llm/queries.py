@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotecurve.llm import bpe, ctw, hnsw, mixing, quality, sharding, simhash, suffix, toxicity, warc
+from quotecurve.llm import bpe, conversations, ctw, hnsw, mixing, quality, sharding, simhash, suffix, toxicity, twins, vptree, warc
 from quotecurve.llm.common import load
 
 
@@ -52,6 +52,14 @@ def op9_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix.removed_passages(load(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op12_approximate_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return vptree.nearest(load(spark, folder, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op13_conversation_structure_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.damaged_and_repaired(load(spark, folder, "conversations")).withColumnRenamed("conv", "conv_id")
+
+
 _OP3 = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS body, source FROM documents),
 w AS (SELECT r, regexp_extract_all(body, '[^\x20\x09-\x0D]+') AS ws FROM d),
@@ -112,5 +120,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_warc": op10_warc,
+    "op12_approximate_nearest_neighbours": op12_approximate_nearest_neighbours,
+    "op13_conversation_structure_repair": op13_conversation_structure_repair,
+}
+ORACLES = {
+    "op3_quality_rules": _OP3,
+    "op10_warc": _OP10,
+    "op12_approximate_nearest_neighbours": twins.OP12,
+    "op13_conversation_structure_repair": twins.OP13,
 }
-ORACLES = {"op3_quality_rules": _OP3, "op10_warc": _OP10}
