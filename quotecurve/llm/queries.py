@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotecurve.llm import bpe, conversations, ctw, hnsw, mixing, quality, sharding, simhash, suffix, toxicity, twins, vptree, warc
+from quotecurve.llm import alignment, bpe, conversations, ctw, hnsw, mixing, quality, sharding, simhash, suffix, toxicity, twins, vptree, warc
 from quotecurve.llm.common import load
 
 
@@ -52,6 +52,10 @@ def op9_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix.removed_passages(load(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.aligned(load(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op12_approximate_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return vptree.nearest(load(spark, folder, "embeddings")).withColumnRenamed("id", "vec_id")
 
@@ -120,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_warc": op10_warc,
+    "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
     "op12_approximate_nearest_neighbours": op12_approximate_nearest_neighbours,
     "op13_conversation_structure_repair": op13_conversation_structure_repair,
 }
