@@ -316,12 +316,20 @@ def _answer(chunks: pa.Table, answers: pa.Table) -> pa.Table:
     return pa.table([*(pa.array(v, pa.int64()) for v in values), pa.array(one["shas"], pa.string())], names=[p.split()[0] for p in _RESULT.split(", ")])
 
 
+_sent: dict = {}
+
+
 def _model(df: DataFrame, a_path: str | None, b_path: str | None):
-    files = []
-    for path, name in ((a_path, A_FILE), (b_path, B_FILE)):
-        with open(path or default_path(name), "rb") as file:
-            files.append(file.read())
-    return df.sparkSession.sparkContext.broadcast(Pair(*files))
+    """Both vocabularies, sent to the workers once for each context and files."""
+    context = df.sparkSession.sparkContext
+    key = (context.applicationId, a_path or default_path(A_FILE), b_path or default_path(B_FILE))
+    if key not in _sent:
+        files = []
+        for path in key[1:]:
+            with open(path, "rb") as file:
+                files.append(file.read())
+        _sent[key] = context.broadcast(Pair(*files))
+    return _sent[key]
 
 
 def aligned(

@@ -163,8 +163,16 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
+_sent: dict = {}
+
+
 def _model(df: DataFrame, path: str | None):
-    return df.sparkSession.sparkContext.broadcast(Bpe.read(path or default_vocabulary()))
+    """The vocabulary, sent to the workers once for each context and file."""
+    context = df.sparkSession.sparkContext
+    key = (context.applicationId, path or default_vocabulary())
+    if key not in _sent:
+        _sent[key] = context.broadcast(Bpe.read(key[1]))
+    return _sent[key]
 
 
 def _counted(encoded: DataFrame) -> DataFrame:

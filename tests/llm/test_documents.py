@@ -2,7 +2,9 @@
 
 import hashlib
 import math
+import random
 import re
+import struct
 import zlib
 from collections import Counter
 
@@ -14,6 +16,10 @@ from tokenizers import Tokenizer
 
 from quotecurve.llm import bpe, ctw, mixing, quality, sharding, simhash, suffix, toxicity
 
+def words(rng, n):
+    return " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 6))) for _ in range(n))
+
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -160,21 +166,100 @@ def test_cut_texts_are_whole_characters(messy):
 # ---------------------------------------------------------------- mixing
 
 
-def test_marginals_are_met(messy):
-    rows = mixing.mixture(messy).collect()
-    assert len(rows) == messy.count()
-    for dim in ("source", "lang", "topic"):
-        tokens, weight = Counter(), Counter()
-        for r in rows:
-            tokens[r[dim]] += r["n_tokens"]
-        for cell in {(r["source"], r["lang"], r["topic"], r["weight"]) for r in rows}:
-            weight[cell[("source", "lang", "topic").index(dim)]] += cell[3]
-        scale = sum(n**mixing.POWER for n in tokens.values())
-        for value, n in tokens.items():
-            assert math.isclose(weight[value], n**mixing.POWER / scale, rel_tol=1e-4)
-    assert max(r["probability"] for r in rows) == pytest.approx(1)
-    drawn = sorted(str(r["id"]) for r in rows if r["sampled"])
-    sample = mixing.sample(messy)
+def _goals(tokens, targets, wanted):
+    """Goals in proportion to the targets, none above the tokens, by bisection of the scale."""
+    low, high = 0.0, 1e12
+    for _ in range(300):
+        mid = (low + high) / 2
+        low, high = (mid, high) if np.minimum(tokens, targets * mid).sum() < wanted else (low, mid)
+    return np.minimum(tokens, targets * high)
+
+
+def _raked(tokens, goals):
+    """Kept tokens of a dense table: every value's scale by bisection, in turn, until nothing moves."""
+    base = tokens.astype(float)
+    for _ in range(60):
+        for axis, goal in enumerate(goals):
+            for k, want in enumerate(goal):
+                at = [slice(None)] * tokens.ndim
+                at[axis] = k
+                at = tuple(at)
+                low, high = 0.0, 1e9
+                for _ in range(60):
+                    mid = math.sqrt(max(low, 1e-9) * high)
+                    low, high = (mid, high) if np.minimum(tokens[at], base[at] * mid).sum() < want else (low, mid)
+                base[at] = base[at] * high
+    return np.minimum(tokens, base)
+
+
+def test_mixture_by_brute_force(spark):
+    rng = random.Random(8)
+    rows = []
+    for k in range(400):
+        lang = rng.choice(["en", "en", "de", None])
+        rows.append((k if k % 50 else None, words(rng, rng.randint(0, 60)) + rng.choice(["", " harbour" * 3, " mountain" * 3, " valley" * 4]), lang, rng.choice(["a", "a", "a", "b", None]), 3))
+    rows += [rows[4], rows[4]]
+    frame = spark.createDataFrame([(*r, "m") for r in rows], "doc_id long, text string, lang string, source string, told int, mix string")
+    found = mixing.mixture(frame, topics=4).collect()
+    assert len(found) == len(rows)
+    values = [sorted({r[d] for r in found}, key=str) for d in ("source", "lang", "topic")]
+    tokens = np.zeros([len(v) for v in values], int)
+    place = lambda r: tuple(v.index(r[d]) for v, d in zip(values, ("source", "lang", "topic")))
+    for r in found:
+        tokens[place(r)] += r["n_tokens"]
+    wanted = mixing.KEEP * tokens.sum()
+    sums = [tokens.sum(axis=tuple({0, 1, 2} - {axis})).astype(float) for axis in range(3)]
+    kept = _raked(tokens, [_goals(s, s**mixing.POWER, wanted) for s in sums])
+    for r in found:
+        at = place(r)
+        assert r["probability"] == pytest.approx(kept[at] / tokens[at], rel=1e-3)
+        assert r["weight"] == pytest.approx(kept[at] / wanted, rel=1e-3)
+        seed = 42 if r["id"] is None else xxhash.xxh64_intdigest(struct.pack("<q", r["id"]), seed=42)
+        number = xxhash.xxh64_intdigest(struct.pack("<i", mixing.SEED), seed=seed) >> 11
+        assert r["sampled"] == (number * 2.0**-53 < r["probability"])
+    counts = Counter()
+    for text in (r[1] for r in rows):
+        counts.update({zlib.crc32(w.encode()) % mixing.TERMS for w in mixing._terms(text)[1]})
+    for r, text in {(r["id"], r["n_tokens"], r["topic"]): t for r in found for i, t, *_ in rows if r["id"] == i and i is not None}.items():
+        strongest = max(((n * math.log((len(rows) + 1) / (counts[zlib.crc32(w.encode()) % mixing.TERMS] + 0.5)), w) for w, n in mixing._terms(text)[1].items()), default=None)
+        want = 1 + zlib.crc32(strongest[1].encode()) % mixing.TERMS % 3 if strongest and strongest[0] > 0 else 0
+        assert r[1:] == (len(text.split()) + 1, want)
+
+
+def test_a_rare_cell_does_not_thin_out_the_others(spark):
+    rows = [(k, "word " * 20, "en", "a") for k in range(2000)] + [(5000, "word", "en", "b")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = mixing.mixture(frame).collect()
+    share = {r["source"]: r["probability"] for r in found}
+    assert share["a"] == pytest.approx(mixing.KEEP, rel=1e-3) and share["b"] <= 1
+
+
+def test_own_targets_and_marginals_that_contradict(spark):
+    rows = [(k, "word word", ["en", "de"][k % 2], ["a", "b"][k % 2]) for k in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    named = frame.selectExpr("doc_id id", "text t", "source s", "lang l")
+    cells = mixing.with_cells(named, "t", "s", "l")
+    targets = {
+        "source": spark.createDataFrame([("a", 1.0), ("b", 3.0)], "source string, target double"),
+        "lang": spark.createDataFrame([("en", 1.0), ("de", 3.0), ("fr", 9.0)], "lang string, target double"),
+        "topic": spark.createDataFrame([(r[0], 1.0) for r in cells.select("mix.topic").distinct().collect()], "topic int, target double"),
+    }
+    share = {r["source"]: r["probability"] for r in mixing.mixture(frame, targets=targets, keep=0.5).collect()}
+    assert share == {"a": pytest.approx(0.25, rel=1e-4), "b": pytest.approx(0.75, rel=1e-4)}
+    targets["lang"] = spark.createDataFrame([("en", 3.0), ("de", 1.0)], "lang string, target double")
+    with pytest.warns(UserWarning, match="met within"):
+        assert mixing.mixture(frame, targets=targets, keep=0.5).count() == 40
+    with pytest.raises(ValueError, match="MAX_MATRIX"):
+        before, mixing.MAX_MATRIX = mixing.MAX_MATRIX, 1
+        try:
+            mixing.mixture(frame, targets=targets)
+        finally:
+            mixing.MAX_MATRIX = before
+
+
+def test_sampled_rows_are_those_of_the_mixture(messy):
+    drawn = sorted(str(r["id"]) for r in mixing.mixture(messy, topics=3).where("sampled").collect())
+    sample = mixing.sample(messy, topics=3)
     assert sample.columns == messy.columns
     assert sorted(str(r["doc_id"]) for r in sample.collect()) == drawn
 
