@@ -336,10 +336,12 @@ def pieces(
     codes = materialise(
         small.join(again, "pos", "left").select("key", "part", "pos", F.coalesce(F.col("worse") + F.col("code") % 4, F.col("code")).cast("int").alias("code")), "codes"
     )
-    matrices = codes.groupBy("key", "part").applyInArrow(_piece_matrix, "key string, part long, costs array<long>")
-    ends = matrices.groupBy("key").applyInArrow(_end_vectors, "key string, part long, ends array<long>")
+    # Written one after another, so that a task never runs more than one of these functions.
+    matrices = materialise(codes.groupBy("key", "part").applyInArrow(_piece_matrix, "key string, part long, costs array<long>"), "matrices")
+    ends = materialise(matrices.groupBy("key").applyInArrow(_end_vectors, "key string, part long, ends array<long>"), "ends")
     exits = codes.join(ends, ["key", "part"]).groupBy("key", "part").applyInArrow(_exit_states, "key string, part long, ends array<long>, exits array<int>")
-    places = exits.groupBy("key").applyInArrow(_entry_states, "key string, part long, ends array<long>, entry int, last boolean, first boolean")
+    found = materialise(exits, "exits").groupBy("key").applyInArrow(_entry_states, "key string, part long, ends array<long>, entry int, last boolean, first boolean")
+    places = materialise(found, "places")
     marks = repeats.select("part", "pos", *(F.lit(None).cast(t).alias(c) for c, t in (("key", "string"), ("ends", "array<long>"), ("entry", "int"), ("first", "boolean"), ("last", "boolean")))).unionByName(
         places.withColumn("pos", F.lit(None).cast("long"))
     )
