@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import expm1_floor, log1p_floor, usable_weight
-from ..session import cut_lineage, materialise
+from ..session import discard, materialise, scratch_folder
 from .joins import salted_join
 
 # Fixed values of the fit.
@@ -22,10 +22,11 @@ SMOOTHING = 0.5
 EVENT_PENALTY = 0.6
 MIN_SPLINES = 4
 MIN_PRICES = 3
+MAX_ROUNDS = 500  # beyond this a curve is reported as not converged
+GRID_POINTS = 100  # prices of a grid
 # names of the expectiles in column names
 BAND = {0.025: "p025", 0.5: "p50", 0.975: "p975"}
 
-_MAX_ROUNDS = 500  # beyond this a curve is reported as not converged
 _TOLERANCE = 1e-6
 _RIDGE = 1e-8
 _TERMS = 5  # four spline weights and the event term
@@ -105,17 +106,16 @@ def _solve_one(ns: int, cells, smoothing: float, event_penalty: float) -> np.nda
     return np.linalg.solve(a, b)
 
 
-def _solver(smoothing: float, event_penalty: float, first: bool):
-    """Solves each curve of a round. A curve that cannot be solved has no coefficients from then on."""
+def _solved(ns: int, cells, smoothing: float, event_penalty: float) -> np.ndarray | None:
+    try:
+        coef = _solve_one(ns, cells, smoothing, event_penalty)
+    except np.linalg.LinAlgError:
+        return None
+    return coef if np.isfinite(coef).all() else None
 
-    def one(ns: int, cells, before) -> np.ndarray | None:
-        if before is None and not first:
-            return None
-        try:
-            coef = _solve_one(ns, cells, smoothing, event_penalty)
-        except np.linalg.LinAlgError:
-            return None
-        return coef if np.isfinite(coef).all() else None
+
+def _solver(smoothing: float, event_penalty: float):
+    """Solves each curve of a round and tells how far its coefficients moved."""
 
     def moved(coef, before) -> float:
         if coef is None:
@@ -124,13 +124,101 @@ def _solver(smoothing: float, event_penalty: float, first: bool):
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            coefs = [one(*row) for row in zip(pdf["n_splines"], pdf["cells"], pdf["before"])]
+            coefs = [_solved(ns, cells, smoothing, event_penalty) for ns, cells in zip(pdf["n_splines"], pdf["cells"])]
             changes = [moved(c, before) for c, before in zip(coefs, pdf["before"])]
             yield pdf.drop(columns=["n_splines", "cells", "before"]).assign(coef=coefs, change=changes)
 
     return solve
 
 
+def place_points(points: DataFrame, ranges: DataFrame, by: str, spread_by: list[str]) -> DataFrame:
+    """`points` (group, x, e, ...) of the groups in `ranges`, with n_splines, cell and the five terms z."""
+    cell, t = spline_cell(F.col("x"), F.col("lo"), F.col("hi"), F.col("n_splines"))
+    met = salted_join(points, ranges.select(by, "lo", "hi", "n_splines"), on=[by], spread_by=spread_by, how="inner")
+    placed = met.withColumns({"cell": cell, "t": t})
+    return placed.withColumn("z", F.array(*spline_weights(F.col("t")), F.col("e"))).drop("lo", "hi", "t", "x", "e")
+
+
+def fitted_value(coef: Column, cell: Column, z: Column, n_splines: Column) -> Column:
+    """Value of a curve with its event term at a placed point."""
+    at = [F.get(coef, cell + i) * z[i] for i in range(4)]
+    return at[0] + at[1] + at[2] + at[3] + F.get(coef, n_splines) * z[4]
+
+
+def cell_sums(terms: DataFrame, keys: list[str]) -> DataFrame:
+    """Sums of a spline cell that determine the least squares fit: rows (keys, n_splines, cell, sums, rhs)."""
+    return terms.groupBy(*keys, "n_splines", "cell").agg(
+        F.array(*[F.sum(F.col("w") * F.col("z")[i] * F.col("z")[j]) for i, j in _PAIRS]).alias("sums"),
+        F.array(*[F.sum(F.col("w") * F.col("z")[i] * F.col("y")) for i in range(_TERMS)]).alias("rhs"),
+    )
+
+
+def _fit_round(placed: DataFrame, models: DataFrame, by: str, first: bool, smoothing: float, event_penalty: float) -> DataFrame:
+    """Curves `models` (group, rep, q, coef) solved once more; groups without a model here are not read."""
+    keys = [by, "rep", "q"]
+    table = models.groupBy(by).agg(F.collect_list(F.struct("rep", "q", "coef")).alias("models"))
+    each = salted_join(placed, table, on=[by], spread_by=["y", "cell"], how="inner").withColumn("m", F.explode("models"))
+    each = each.withColumn("w", F.get("ws", F.col("m.rep"))).where("w > 0")
+    side = F.lit(0.5)
+    if not first:
+        fitted = fitted_value(F.col("m.coef"), F.col("cell"), F.col("z"), F.col("n_splines"))
+        side = F.when(F.col("y") > fitted, F.col("m.q")).otherwise(F.lit(1.0) - F.col("m.q"))
+    w = F.col("w") * F.when(F.col("m.q") == 0.5, F.col("y")).otherwise(1.0) * side
+    terms = each.select(by, "n_splines", "cell", "z", "y", F.col("m.rep").alias("rep"), F.col("m.q").alias("q"), w.alias("w"))
+    cells = cell_sums(terms, keys).groupBy(*keys, "n_splines").agg(F.collect_list(F.struct("cell", "sums", "rhs")).alias("cells"))
+    cells = cells.join(models.select(*keys, F.col("coef").alias("before")), keys)
+    return cells.mapInPandas(_solver(smoothing, event_penalty), f"{by} string, rep int, q double, coef array<double>, change double")
+
+
+def fit_rounds(
+    placed: DataFrame,
+    by: str,
+    expectiles: tuple[float, ...],
+    reps: int = 1,
+    smoothing: float = SMOOTHING,
+    event_penalty: float = EVENT_PENALTY,
+    max_rounds: int = MAX_ROUNDS,
+) -> DataFrame:
+    """Curves (group, rep, q, coef, change, rounds) of the placed points with weights `ws`, one for each replicate.
+
+    Each round reweights the points by the side of the curve they lie on (asymmetric least squares) for
+    the curves that still move, all replicates and expectiles of a group in one pass. A curve that has
+    settled, or cannot be solved, leaves the loop: its group's points are read again only for others. A
+    round's table is deleted when the next one is written.
+    """
+    spark = placed.sparkSession
+    home = scratch_folder(spark, "fit")
+    kinds = f"{by} string, rep int, q double, coef array<double>, change double"
+    grid = [F.struct(F.lit(r).alias("rep"), F.lit(float(q)).alias("q")) for r in range(reps) for q in expectiles]
+    models = (
+        placed.select(by)
+        .distinct()
+        .withColumn("m", F.explode(F.array(*grid)))
+        .select(by, "m.rep", "m.q", F.lit(None).cast("array<double>").alias("coef"))
+    )
+    written, before = [], None
+    for k in range(max_rounds + 1):
+        path = f"{home}/round-{k}"
+        _fit_round(placed, models, by, k == 0, smoothing, event_penalty).write.parquet(path)
+        now = spark.read.schema(kinds).parquet(path)
+        settled = F.col("coef").isNull() | (F.col("change") < _TOLERANCE)
+        over = F.lit(k == max_rounds) | settled
+        counts = now.agg(F.count_if(over).alias("over"), F.count_if(~over).alias("open")).first()
+        if counts["over"]:
+            written.append(f"{home}/over-{k}")
+            now.where(over).withColumn("rounds", F.lit(k)).coalesce(max(1, min(8, counts["over"] // 50_000 + 1))).write.parquet(written[-1])
+        if before:
+            discard(spark, before)
+        before = path
+        if not counts["open"]:
+            break
+        models = now.where(~over).select(by, "rep", "q", "coef")
+    if before:
+        discard(spark, before)
+    kinds += ", rounds int"
+    return spark.read.schema(kinds).parquet(*written) if written else spark.createDataFrame([], kinds)
+
+
 def fit_curves(
     rows: DataFrame,
     n_splines: int | None = None,
@@ -139,6 +227,7 @@ def fit_curves(
     weight: str | None = "weight",
     by: str = "product",
     expectiles: tuple[float, ...] = EXPECTILES,
+    max_rounds: int = MAX_ROUNDS,
 ) -> DataFrame:
     """Model table: one row for each group and expectile.
 
@@ -146,63 +235,21 @@ def fit_curves(
     multiplied by ln(1+units) for the middle expectile. Groups with fewer than three
     distinct prices get status 'too_few_prices' and no curve, one that cannot be solved
     'failed', one that still moves after the last round 'not_converged'; the others go on.
-
-    All groups and expectiles are fitted together: each round is one pass over the
-    training points that reweights them by the side of the curve they lie on (asymmetric
-    least squares), until no coefficient moves.
     """
     points = training_points(rows, weight, by)
     ranges = curve_ranges(points, n_splines, by)
-    enough = ranges.where(F.col("n_prices") >= MIN_PRICES)
-    cell, t = spline_cell(F.col("x"), F.col("lo"), F.col("hi"), F.col("n_splines"))
-    placed = (
-        salted_join(points, enough, on=[by], spread_by=["x", "y", "e"], how="inner")
-        .withColumns({"cell": cell, "t": t})
-        .select(by, "n_splines", "cell", F.array(*spline_weights(F.col("t")), F.col("e")).alias("z"), "y", "w")
-    )
+    placed = place_points(points, ranges.where(F.col("n_prices") >= MIN_PRICES), by, ["x", "y", "e"])
     # tables, not checkpoints: their size is known, so small model tables are broadcast to
     # the points instead of shuffling the points in every round
-    placed = materialise(placed, "fit_points")
-
-    def one_round(models: DataFrame | None) -> DataFrame:
-        if models is None:
-            start = [F.struct(F.lit(q).alias("q"), F.lit(None).cast("array<double>").alias("coef")) for q in expectiles]
-            each = placed.withColumn("m", F.explode(F.array(*start)))
-            side = F.lit(0.5)
-        else:
-            table = models.groupBy(by).agg(F.collect_list(F.struct("q", "coef")).alias("models"))
-            each = salted_join(placed, table, on=[by], spread_by=["y", "cell", "w"], how="inner").withColumn(
-                "m", F.explode("models")
-            )
-            at = [F.get("m.coef", F.col("cell") + i) * F.col("z")[i] for i in range(4)]
-            fitted = at[0] + at[1] + at[2] + at[3] + F.get("m.coef", F.col("n_splines")) * F.col("z")[4]
-            side = F.when(F.col("y") > fitted, F.col("m.q")).otherwise(F.lit(1.0) - F.col("m.q"))
-        w = F.col("w") * F.when(F.col("m.q") == 0.5, F.col("y")).otherwise(1.0) * side
-        terms = each.select(by, "n_splines", "cell", "z", "y", F.col("m.q").alias("q"), w.alias("w"))
-        sums = terms.groupBy(by, "q", "n_splines", "cell").agg(
-            F.array(*[F.sum(F.col("w") * F.col("z")[i] * F.col("z")[j]) for i, j in _PAIRS]).alias("sums"),
-            F.array(*[F.sum(F.col("w") * F.col("z")[i] * F.col("y")) for i in range(_TERMS)]).alias("rhs"),
-        )
-        cells = sums.groupBy(by, "q", "n_splines").agg(F.collect_list(F.struct("cell", "sums", "rhs")).alias("cells"))
-        if models is None:
-            cells = cells.withColumn("before", F.lit(None).cast("array<double>"))
-        else:
-            cells = cells.join(models.select(by, "q", F.col("coef").alias("before")), [by, "q"])
-        solved = cells.mapInPandas(
-            _solver(smoothing, event_penalty, models is None), f"{by} string, q double, coef array<double>, change double"
-        )
-        return materialise(solved, "fit_round")
-
-    models = one_round(None)
-    for _ in range(_MAX_ROUNDS):  # one small job and one number to the driver each
-        models = one_round(models)
-        moved = models.agg(F.max("change").alias("change")).first()["change"]
-        if moved is None or moved < _TOLERANCE:
-            break
+    placed = materialise(placed.withColumn("ws", F.array("w")).drop("w"), "fit_points")
+    models = fit_rounds(placed, by, expectiles, 1, smoothing, event_penalty, max_rounds)
+    return with_states(models.drop("rep", "rounds"), ranges, by, expectiles)
+
 
+def with_states(models: DataFrame, ranges: DataFrame, by: str, expectiles: tuple[float, ...]) -> DataFrame:
+    """Model table of solved curves and of the groups that have too few prices."""
     fitted = models.join(ranges, by).select(
-        by,
-        "q",
+        *[c for c in models.columns if c not in ("coef", "change")],
         "lo",
         "hi",
         "n_splines",
@@ -226,7 +273,40 @@ def fit_curves(
         F.lit(None).cast("double").alias("event_coef"),
         F.lit("too_few_prices").alias("status"),
     )
-    return fitted.unionByName(skipped)
+    return fitted.unionByName(skipped, allowMissingColumns=True)
+
+
+def normal_equations(rows: DataFrame, models: DataFrame, weight: str | None = "weight", smoothing: float = SMOOTHING, by: str = "product") -> DataFrame:
+    """(group, q, term, gap): what the spline equations of fitted curves leave over, relative to their size.
+
+    Zero for a curve that minimises its loss: for each coefficient, the weighted sum of its term times the
+    rest of the points equals the pull of the penalty.
+    """
+    points = training_points(rows, weight, by)
+    one = models.where("status = 'fitted'").select(by, "q", "lo", "hi", "n_splines", "event_coef", "beta")
+    table = one.groupBy(by).agg(F.collect_list(F.struct(*one.columns[1:])).alias("models"))
+    each = salted_join(points, table, on=[by], spread_by=["x", "y", "e"], how="inner").withColumn("m", F.explode("models"))
+    cell, t = spline_cell(F.col("x"), F.col("m.lo"), F.col("m.hi"), F.col("m.n_splines"))
+    placed = each.withColumns({"cell": cell, "t": t})
+    value = spline_value(F.col("m.beta"), F.col("cell"), F.col("t")) + F.col("m.event_coef") * F.col("e")
+    side = F.when(F.col("y") > value, F.col("m.q")).otherwise(F.lit(1.0) - F.col("m.q"))
+    w = F.col("w") * F.when(F.col("m.q") == 0.5, F.col("y")).otherwise(1.0) * side
+    terms = F.array(*[F.struct((F.col("cell") + i).alias("term"), z.alias("z")) for i, z in enumerate(spline_weights(F.col("t")))])
+    parts = placed.select(by, F.col("m.q").alias("q"), w.alias("w"), (F.col("y") - value).alias("rest"), "y", F.explode(terms).alias("p"))
+    sums = parts.groupBy(by, "q", F.col("p.term").alias("term")).agg(
+        F.sum(F.col("w") * F.col("p.z") * F.col("rest")).alias("data"), F.sum(F.col("w") * F.col("p.z") * (F.abs("y") + 1)).alias("size")
+    )
+
+    def bend(k: Column) -> Column:  # second difference of the coefficients around place k, 0 beyond the ends
+        inside = (k >= 0) & (k + 2 < F.col("n_splines"))
+        return F.when(inside, F.get("beta", k) - 2 * F.get("beta", k + 1) + F.get("beta", k + 2)).otherwise(0.0)
+
+    term = F.col("term")
+    pull = F.lit(smoothing) * (bend(term - 2) - 2 * bend(term - 1) + bend(term)) + F.lit(_RIDGE) * F.get("beta", term)
+    wanted = one.withColumn("term", F.explode(F.sequence(F.lit(0), F.col("n_splines") - 1)))
+    joined = wanted.join(sums, [by, "q", "term"], "left")
+    gap = (F.coalesce("data", F.lit(0.0)) - pull) / (F.coalesce("size", F.lit(0.0)) + F.abs(pull) + 1)
+    return joined.select(by, "q", "term", gap.alias("gap"))
 
 
 def score_curves(
@@ -266,64 +346,16 @@ def score_curves(
     return out.withColumns(revenue).drop(*hidden)
 
 
-def bootstrap_curves(
-    rows: DataFrame, row_key: list[str], replicates: int = 20, by: str = "product", **fit
-) -> DataFrame:
-    """Model table of resampled fits, one group for each product and replicate.
+def price_grid(models: DataFrame, points: int = GRID_POINTS, by: str = "product") -> DataFrame:
+    """(group, price): evenly spaced prices, to the cent, over the range each fitted curve was trained on."""
+    cents = lambda c: F.round(F.expm1(F.col(c)) * 100).cast("long")
+    ends = models.where("status = 'fitted'").groupBy(by).agg(F.min(cents("lo")).alias("low"), F.max(cents("hi")).alias("high"))
+    place = F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
+    spots = ends.withColumn("place", place).select(by, (F.col("low") + F.expr(f"(high - low) * place div {points - 1}")).alias("cents"))
+    return spots.distinct().select(by, (F.col("cents") / 100.0).alias("price"))
 
-    Each row gets a Poisson(1) count in each replicate from the hash of its key, so the
-    draw is the same on every run and needs no exchange of rows.
-    """
-    draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("rep").cast("string"), *row_key)), 1, 8), 16, 10)
-    u = draw.cast("double") / F.lit(4294967296.0)
-    # inverse of the Poisson(1) distribution function
-    bounds, total, term = [], 0.0, float(np.exp(-1.0))
-    for k in range(9):
-        term = term / max(k, 1)
-        total += term
-        bounds.append(total)
-    count = sum((F.when(u >= b, 1).otherwise(0) for b in bounds), F.lit(0))
-    sampled = (
-        rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-        .withColumn("count", count)
-        .where(F.col("count") > 0)
-        .withColumn("weight", F.coalesce("weight", F.lit(1.0)) * F.col("count"))
-        .withColumn("fit_key", F.concat_ws("#", by, F.col("rep").cast("string")))
-    )
-    models = fit_curves(sampled, by="fit_key", **fit)
-    return models.select(
-        F.regexp_extract("fit_key", "^(.*)#([0-9]+)$", 1).alias(by),
-        F.regexp_extract("fit_key", "^(.*)#([0-9]+)$", 2).cast("int").alias("rep"),
-        *[c for c in models.columns if c != "fit_key"],
-    )
-
-
-def bootstrap_bands(points: DataFrame, models: DataFrame, by: str = "product") -> DataFrame:
-    """Median and relative error of the middle curve over replicates at each price point.
-
-    `points` has the group and price; work grows with prices times replicates.
-    """
-    middle = models.where((F.col("q") == 0.5) & (F.col("status") == "fitted"))
-    met = points.select(by, "price").distinct().join(middle, by)
-    cell, t = spline_cell(log1p_floor(F.col("price").cast("double")), F.col("lo"), F.col("hi"), F.col("n_splines"))
-    placed = met.withColumns({"cell": cell, "t": t})
-    units = placed.withColumn("units", expm1_floor(spline_value(F.col("beta"), F.col("cell"), F.col("t"))))
-    return units.groupBy(by, "price").agg(
-        F.percentile("units", 0.5).alias("units_p50"),
-        F.try_divide(F.stddev_samp("units"), F.avg("units") * F.sqrt(F.count(F.lit(1)))).alias("relative_error"),
-        F.count(F.lit(1)).alias("replicates"),
-    )
-
-
-def bootstrap_until(
-    rows: DataFrame, row_key: list[str], target: float = 0.05, batch: int = 10, max_replicates: int = 50, **fit
-) -> DataFrame:
-    """Bands from as many replicates as the target relative error needs, at most `max_replicates`."""
-    replicates = batch
-    while True:
-        bands = cut_lineage(bootstrap_bands(rows, bootstrap_curves(rows, row_key, replicates, **fit)))
-        worst = bands.agg(F.percentile("relative_error", 0.5).alias("e")).first()["e"]
-        if replicates >= max_replicates or (worst is not None and worst <= target):
-            return bands
-        replicates = min(replicates + batch, max_replicates)
 
+def score_grid(models: DataFrame, points: int = GRID_POINTS, by: str = "product", event_code: int = 0) -> DataFrame:
+    """Predictions on the price grid, without observed rows: the curve of each product between its outer prices."""
+    grid = price_grid(models, points, by).withColumn("event_code", F.lit(event_code))
+    return score_curves(grid, models, by=by, spread_by=["price"]).drop("event_code")

@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 
 # Number of cut values; each of the buckets between them is ranked by its own task.
 CUTS = 256
+# Buckets that a group's values are cut into for its quantiles, and the accuracy of the sketch that cuts them.
+SLICES = 64
+SKETCH = 1000
 
 
 def ranked_values(
@@ -66,20 +69,40 @@ def percentile_ranks(rows: DataFrame, column: str, out: str) -> DataFrame:
 def quantiles(values: DataFrame, column: str, count_column: str, shares: list[float], by: tuple[str, ...] = ()) -> DataFrame:
     """(groups, cuts): exact quantiles, linearly interpolated, of distinct values with counts.
 
-    `values` has one row for each group and value. The two rows around a quantile are found by
-    rank, so no task holds the values of a group. No values give null cuts (no row for a group).
+    `values` has one row for each group and value. A mergeable sketch cuts each group's own values into
+    buckets; counts of the buckets tell which of them hold a wanted rank, and only those are sorted. No
+    task holds the values of a group. No values give null cuts (no row for a group).
     """
-    totals = values.groupBy(*by).agg(F.sum(count_column).alias("_total"))
-    ranked = ranked_values(values, column, count_column, by=by)
-    ranked = ranked.join(totals, list(by)) if by else ranked.withColumn("_total", totals.scalar())
-    value, end = F.col(column).cast("double"), F.col("below") + F.col(count_column)
+    known = values.select(*by, F.col(column).cast("double").alias("_value"), F.col(count_column).alias("_n")).where("_value is not null")
+    levels = [k / SLICES for k in range(1, SLICES)]
+    sketch = known.groupBy(*by).agg(F.percentile_approx("_value", levels, F.lit(SKETCH)).alias("_cuts"))
+    met = known.join(sketch, list(by)) if by else known.withColumn("_cuts", sketch.scalar())
+    bucketed = met.withColumn("_bucket", F.size(F.filter(F.array_distinct("_cuts"), lambda c: c <= F.col("_value")))).drop("_cuts")
+    totals = bucketed.groupBy(*by, "_bucket").agg(F.sum("_n").alias("rows"))
+    # at most SLICES rows of a group
+    packed = totals.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_bucket", "rows"))).alias("_all"), F.sum("rows").alias("_total"))
+    places = [F.lit(float(s)) * (F.col("_total") - 1) for s in shares]
+    wanted = F.array_distinct(F.array(*[f(p).cast("long") for p in places for f in (F.floor, F.ceil)]))
+    start = F.struct(F.lit(0).cast("long").alias("below"), F.array().cast("array<struct<bucket:int,below:bigint>>").alias("kept"))
 
-    def cut(share: float) -> Column:
-        place = F.lit(share) * (F.col("_total") - 1)
+    def step(acc: Column, b: Column) -> Column:
+        end = acc["below"] + b["rows"]
+        hit = F.exists(wanted, lambda r: (r >= acc["below"]) & (r < end))
+        found = F.struct(b["_bucket"].alias("bucket"), acc["below"].alias("below"))
+        return F.struct(end.alias("below"), F.when(hit, F.array_append(acc["kept"], found)).otherwise(acc["kept"]).alias("kept"))
+
+    held = packed.select(*by, "_total", F.explode(F.aggregate("_all", start, step)["kept"]).alias("_k")).select(
+        *by, "_total", F.col("_k.bucket").alias("_bucket"), F.col("_k.below").alias("_start")
+    )
+    inside = Window.partitionBy(*by, "_bucket").orderBy("_value").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = bucketed.join(held, [*by, "_bucket"]).withColumn("_below", F.col("_start") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    end = F.col("_below") + F.col("_n")
+
+    def cut(place: Column) -> Column:
         low, high = F.floor(place), F.ceil(place)
-        at_low = F.max(F.when((F.col("below") <= low) & (low < end), value))
-        at_high = F.max(F.when((F.col("below") <= high) & (high < end), value))
+        at_low = F.max(F.when((F.col("_below") <= low) & (low < end), F.col("_value")))
+        at_high = F.max(F.when((F.col("_below") <= high) & (high < end), F.col("_value")))
         part = F.max(place - low)
         return F.when(at_low == at_high, at_low).otherwise((1 - part) * at_low + part * at_high)
 
-    return ranked.groupBy(*by).agg(F.array(*[cut(s) for s in shares]).alias("cuts"))
+    return ranked.groupBy(*by).agg(F.array(*[cut(p) for p in places]).alias("cuts"))

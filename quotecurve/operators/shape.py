@@ -1,11 +1,14 @@
 """Shape of a curve: smoothing, monotone projection, anchors, tapers, ordered bands."""
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import to_cents
+from ..session import materialise
 
 # Share of prices at each end that sets an anchor, anchor weight and offset.
 ANCHOR_SHARE = 0.10
@@ -27,39 +30,93 @@ def rolling_median(points: DataFrame, value: str, window: int | None, by: str =
     return points.withColumn(value, F.when(size < window, F.col(value)).otherwise(smooth))
 
 
-def _pool(values: np.ndarray) -> np.ndarray:
-    """Non-increasing least-squares fit of a sequence by pooling adjacent violators."""
-    means: list[float] = []
-    sizes: list[int] = []
-    for v in values:
-        means.append(float(v))
-        sizes.append(1)
-        while len(means) > 1 and means[-1] > means[-2]:
-            m, s = means.pop(), sizes.pop()
-            means[-1] = (means[-1] * sizes[-1] + m * s) / (sizes[-1] + s)
-            sizes[-1] += s
-    return np.repeat(means, sizes)
+def _pooled(sums: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Block number of each entry after pooling neighbours until no block's mean is above the one before.
+
+    The blocks are the edges of the concave hull of the cumulative sums, kept as a stack.
+    """
+    total, size, first = [], [], []
+    for k, (s, n) in enumerate(zip(sums.tolist(), sizes.tolist(), strict=True)):
+        at = k
+        while total and s * size[-1] > total[-1] * n:
+            s, n, at = s + total.pop(), n + size.pop(), first.pop()
+        total.append(s)
+        size.append(n)
+        first.append(at)
+    return np.searchsorted(np.array(first), np.arange(len(sums)), "right") - 1
+
+
+def _hull_of_ranges(by: str):
+    """Blocks of each group inside one range of prices: its rows with their block number."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]  # a range of bounded size
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        group = table.column(by).to_pandas()
+        starts = np.flatnonzero(np.append(True, (group != group.shift()).to_numpy()[1:]))
+        value = table.column("_value").to_numpy()
+        block = np.empty(len(table), np.int64)
+        for a, b in zip(starts, np.append(starts[1:], len(table)), strict=True):
+            block[a:b] = _pooled(value[a:b], np.ones(b - a))
+        yield from table.append_column("_block", pa.array(block)).to_batches()
+
+    return work
+
+
+def _merge_hulls(table: pa.Table) -> pa.Table:
+    """Blocks of one group that others reach, pooled over all its ranges."""
+    table = table.sort_by([("_part", "ascending"), ("_block", "ascending")])
+    total, size = table.column("total").to_numpy(), table.column("size").to_numpy().astype(float)
+    block = _pooled(total, size)
+    mean = (np.bincount(block, total) / np.bincount(block, size))[block]
+    return table.select([0, 1, 2]).append_column("level", pa.array(mean, pa.float64()))
 
 
 def monotone_curve(
-    points: DataFrame, value: str, by: str = "product", x: str = "price", nonneg: bool = False, increasing: bool = False
+    points: DataFrame, value: str, by: str = "product", x: str = "price", nonneg: bool = False, increasing: bool = False, parts: int | None = None
 ) -> DataFrame:
     """Closest curve that never rises (or never falls) with price; groups under three points stay.
 
-    `points` has one row for each group and price, so a group holds at most its distinct prices.
+    `points` has one row for each group and price; rows without a value stay as they are. Points are cut
+    into ranges of (group, price), and each range pools its own neighbours. A block then only meets blocks
+    of other ranges when one after it is above it or one before it below: those few are pooled again over
+    the whole group, the others are final.
     """
     sign = -1.0 if increasing else 1.0
-
-    def project(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(x, kind="stable")
-        y = pdf[value].to_numpy(dtype=float)
-        if nonneg:
-            y = np.maximum(y, 0.0)
-        if len(y) >= 3:
-            y = sign * _pool(sign * y)
-        return pdf.assign(**{value: y})
-
-    return points.groupBy(by).applyInPandas(project, schema=points.schema)
+    number = F.col(value).cast("double")
+    clean = F.greatest(number, F.lit(0.0)) if nonneg else number
+    kind = points.schema[value].dataType
+    known = F.col(by).isNotNull() & number.isNotNull() & ~F.isnan(number)
+    counts = points.where(known).groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+    used = points.where(known).select(by, x, (clean * sign).alias("_value"))
+    ranges = used.repartitionByRange(parts, by, x) if parts else used.repartitionByRange(by, x)
+    sorted_ = ranges.sortWithinPartitions(by, x).withColumn("_part", F.spark_partition_id())
+    schema = ", ".join(f"`{n}` {t}" for n, t in sorted_.dtypes) + ", _block long"
+    placed = materialise(sorted_.mapInArrow(_hull_of_ranges(by), schema), "ranges")
+    blocks = placed.groupBy(by, "_part", "_block").agg(F.sum("_value").alias("total"), F.count(F.lit(1)).alias("size"))
+    blocks = materialise(blocks.withColumn("mean", F.col("total") / F.col("size")), "blocks")
+    # one row for each group and range
+    ends = blocks.groupBy(by, "_part").agg(F.max("mean").alias("top"), F.min("mean").alias("low"))
+    order = Window.partitionBy(by).orderBy("_part")
+    reach = ends.select(
+        by,
+        "_part",
+        F.max("top").over(order.rowsBetween(1, Window.unboundedFollowing)).alias("above"),
+        F.min("low").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("below"),
+    )
+    met = blocks.join(reach, [by, "_part"])
+    open_ = F.coalesce(F.col("mean") < F.col("above"), F.lit(False)) | F.coalesce(F.col("mean") > F.col("below"), F.lit(False))
+    key_type = dict(points.dtypes)[by]
+    merged = met.where(open_).select(by, "_part", "_block", "total", "size").groupBy(by).applyInArrow(
+        _merge_hulls, f"`{by}` {key_type}, _part int, _block long, level double"
+    )
+    levels = met.where(~open_).select(by, "_part", "_block", F.col("mean").alias("level")).unionByName(merged)
+    fitted = placed.join(levels, [by, "_part", "_block"]).select(by, x, (F.col("level") * sign).alias("_level"))
+    out = points.join(counts, by, "left").join(fitted, [by, x], "left")
+    shown = F.when(F.col("_n") >= 3, F.coalesce("_level", clean)).otherwise(clean)
+    return out.withColumn(value, F.when(known, shown).otherwise(number).cast(kind)).select(*points.columns)
 
 
 def anchor_rows(rows: DataFrame, value: str = "shipped_units", by: str = "product") -> DataFrame:

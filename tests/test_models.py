@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quotecurve.operators import curve as crv
+from quotecurve.operators import resample
 from quotecurve.operators import tuning as tun
 from quotecurve.operators import weights as wt
 
@@ -113,7 +114,7 @@ def test_search_beats_its_coarse_grid(spark):
 
 def test_bootstrap_bands(spark):
     df = model_rows(spark, n=60, products=1).withColumn("k", F.monotonically_increasing_id().cast("string"))
-    bands = crv.bootstrap_until(df, ["k"], target=0.5, batch=4, max_replicates=4, expectiles=(0.5,), n_splines=6)
+    bands = resample.bootstrap_until(df, ["k"], target=0.5, batch=4, max_replicates=4, expectiles=(0.5,), n_splines=6)
     assert bands.count() == df.select("price").distinct().count()
     assert bands.agg(F.max("replicates")).first()[0] == 4
 
@@ -133,11 +134,11 @@ def test_a_far_price_rules_out_the_narrowest_bandwidth(spark):
     assert wt.best_bandwidth(rows, ["key"]).first()["h"] > scores[0][0]
 
 
-def test_a_broken_product_is_told_and_the_others_go_on(spark, monkeypatch):
+def test_a_broken_product_is_told_and_the_others_go_on(spark):
     good = model_rows(spark, n=60, products=1)
     broken = spark.createDataFrame([("bad", float(k), 0, k, 1e308) for k in range(1, 9)], good.schema)
     states = {(r["product"], r["q"]): r["status"] for r in crv.fit_curves(good.union(broken)).collect()}
     assert {s for (p, _), s in states.items() if p == "p0"} == {"fitted"}
     assert {s for (p, _), s in states.items() if p == "bad"} == {"failed"}
     monkeypatch.setattr(crv, "_MAX_ROUNDS", 1)
-    assert "not_converged" in {r["status"] for r in crv.fit_curves(good).collect()}
+    assert "not_converged" in {r["status"] for r in crv.fit_curves(good, max_rounds=1).collect()}
