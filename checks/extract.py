@@ -10,7 +10,7 @@ from quotecurve.plans import extract
 from quotecurve.sources import retail
 from quotecurve.sources.files import stage
 
-from .base import EXTRACT_SCOPE, compose, event_case, priority_case
+from .base import EXTRACT_SCOPE, compose
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -151,7 +151,7 @@ def join_vendor(spark, folder):
     "j04_base_orders",
     """SELECT item_id, item_name, shipment_item_id, order_date, product_group, brand_name, brand_code, vendor_code,
 company_code, company_name, shipped_units, cents / 100.0::DOUBLE AS price, share_cents / 100.0::DOUBLE AS revenue_share_amt
-FROM x_base_orders""",
+FROM x_orders""",
 )
 def base_orders(spark, folder):
     return plain(extract.orders_in_scope(extract.retail_inputs(spark, folder), EXTRACT_SCOPE))
@@ -160,20 +160,20 @@ def base_orders(spark, folder):
 @check(
     "j05_base_promotions",
     """SELECT region_id, market_id, product_group, item_id, promotion_key, title, start_ts, end_ts,
-promo_cents / 100.0::DOUBLE AS promo_price, discount_percent FROM x_base_promos""",
+promo_cents / 100.0::DOUBLE AS promo_price, discount_percent FROM x_offers""",
 )
 def base_promotions(spark, folder):
     return plain(_calendar(spark, folder)[0])
 
 
-@check("c01_event_class", "SELECT * FROM x_raw_events")
+@check("c01_event_class", "SELECT * FROM x_events")
 def event_classes(spark, folder):
     return _calendar(spark, folder)[1]
 
 
 @check(
     "c02_event_priority",
-    f"""SELECT event_name, {priority_case("event_name")} AS priority, count(*) AS n FROM x_raw_events GROUP BY ALL""",
+    "SELECT event_name, ifnull(priority, 99) AS priority, count(*) AS n FROM x_events LEFT JOIN event_ranks USING (event_name) GROUP BY ALL",
 )
 def event_priorities(spark, folder):
     from quotecurve.functions.events import event_priority
@@ -198,16 +198,16 @@ def date_parts(spark, folder):
     return days.select("order_date", *[keys[k].alias(k) for k in ("year", "month", "day", "week")], "n")
 
 
-@check("w01_leading_promotion", "SELECT * FROM x_details")
+@check("w01_leading_promotion", "SELECT * FROM x_lead")
 def leading_promotion(spark, folder):
     return _calendar(spark, folder)[2]
 
 
 @check(
     "w01_leading_promotion_by_year",
-    f"""SELECT region_id, market_id, product_group, item_id, promotion_key, event_name, event_year, promo_start, promo_end
-FROM (SELECT *, row_number() OVER (PARTITION BY item_id, event_year
-      ORDER BY {priority_case("event_name")}, promo_start, promotion_key) AS rn FROM x_raw_events) WHERE rn = 1""",
+    """SELECT region_id, market_id, product_group, item_id, promotion_key, event_name, event_year, promo_start, promo_end
+FROM x_events LEFT JOIN event_ranks USING (event_name)
+QUALIFY row_number() OVER (PARTITION BY item_id, event_year ORDER BY ifnull(priority, 99), promo_start, promotion_key) = 1""",
 )
 def leading_promotion_by_year(spark, folder):
     return promo.promotion_details(_calendar(spark, folder)[1], by_year=True)
@@ -215,7 +215,7 @@ def leading_promotion_by_year(spark, folder):
 
 @check(
     "a02_event_date_frequency",
-    """SELECT event_name, event_year, promo_start, promo_end, count(*) AS frequency FROM x_details
+    """SELECT event_name, event_year, promo_start, promo_end, count(*) AS frequency FROM x_lead
 GROUP BY ALL HAVING count(*) >= 3""",
 )
 def event_date_frequency(spark, folder):
@@ -226,7 +226,7 @@ def event_date_frequency(spark, folder):
     return counts.where(F.col("frequency") >= promo.MIN_STANDARD_FREQUENCY)
 
 
-@check("w02_event_standards", "SELECT * FROM x_standards")
+@check("w02_event_standards", "SELECT * FROM x_usual")
 def standards(spark, folder):
     return _calendar(spark, folder)[3]
 
@@ -239,7 +239,7 @@ def distinct_items(spark, folder):
     return plain(retail.promotion_items(spark, folder).select("item_id", "promo_price", "discount_percent").distinct())
 
 
-@check("j06_consolidated_promotions", "SELECT * FROM x_consolidated")
+@check("j06_consolidated_promotions", "SELECT * FROM x_calendar")
 def consolidated(spark, folder):
     return extract.promotion_calendar(extract.retail_inputs(spark, folder), EXTRACT_SCOPE)[1]
 
@@ -247,7 +247,7 @@ def consolidated(spark, folder):
 @check(
     "j07_orders_in_promo_window",
     """SELECT item_id, item_name, order_date, cents / 100.0::DOUBLE AS price, window_event,
-sum(shipped_units)::BIGINT AS shipped_units FROM x_windowed GROUP BY ALL""",
+sum(shipped_units)::BIGINT AS shipped_units FROM x_in_window GROUP BY ALL""",
 )
 def orders_in_window(spark, folder):
     inputs = extract.retail_inputs(spark, folder)
@@ -260,7 +260,7 @@ def orders_in_window(spark, folder):
 @check(
     "j08_orders_with_promo_price",
     """SELECT item_id, order_date, cents / 100.0::DOUBLE AS price, window_event, promo_cents / 100.0::DOUBLE AS promo_price,
-discount_percent, sum(shipped_units)::BIGINT AS shipped_units FROM h_priced GROUP BY ALL""",
+discount_percent, sum(shipped_units)::BIGINT AS shipped_units FROM h_paid GROUP BY ALL""",
 )
 def orders_with_promo_price(spark, folder):
     inputs = extract.retail_inputs(spark, folder)
@@ -274,7 +274,7 @@ def orders_with_promo_price(spark, folder):
 
 @check(
     "c03_paid_event",
-    """SELECT event_name, deal_discount_percent, sum(shipped_units)::BIGINT AS shipped_units FROM h_priced GROUP BY ALL""",
+    """SELECT event_name, deal_discount_percent, sum(shipped_units)::BIGINT AS shipped_units FROM h_paid GROUP BY ALL""",
 )
 def paid_event(spark, folder):
     inputs = extract.retail_inputs(spark, folder)
@@ -288,7 +288,7 @@ def paid_event(spark, folder):
 
 
 _ORDERS_EVENT = """SELECT item_id, item_name, order_date, cents / 100.0::DOUBLE AS price, event_name,
-deal_discount_percent, shipped_units, revenue_cents / 100.0::DOUBLE AS revenue FROM {}orders_event"""
+deal_discount_percent, shipped_units, revenue_cents / 100.0::DOUBLE AS revenue FROM {}sales"""
 
 
 @check("a01_sales_extract", _ORDERS_EVENT.format("x_"))
@@ -308,9 +308,9 @@ def sales_extract_history(spark, folder):
        CASE WHEN promo_cents <> cents THEN 0.0::DOUBLE ELSE coalesce(discount_percent, 0.0::DOUBLE) END AS deal_discount_percent,
        CAST(sum(shipped_units) AS INTEGER) AS shipped_units, sum(share_cents) / 100.0::DOUBLE AS revenue
 FROM (SELECT w.*, bp.promo_cents, bp.discount_percent
-      FROM h_windowed w ASOF_SAFE) GROUP BY item_id, item_name, order_date, cents, window_event, promo_cents, discount_percent""".replace(
+      FROM h_in_window w ASOF_SAFE) GROUP BY item_id, item_name, order_date, cents, window_event, promo_cents, discount_percent""".replace(
         "ASOF_SAFE",
-        """LEFT JOIN LATERAL (SELECT b.promo_cents, b.discount_percent FROM h_base_promos b
+        """LEFT JOIN LATERAL (SELECT b.promo_cents, b.discount_percent FROM h_offers b
         WHERE b.item_id = w.window_item AND CAST(w.order_date AS TIMESTAMP) BETWEEN b.start_ts AND b.end_ts
         ORDER BY b.start_ts, b.end_ts, b.promo_cents, b.discount_percent LIMIT 1) bp ON true""",
     ),
@@ -322,8 +322,8 @@ def sales_extract_dedupe(spark, folder):
 
 @check(
     "s04_staged_views",
-    """SELECT c.event_name, count(*) AS items, count(DISTINCT c.promo_start) AS starts FROM x_consolidated c
-JOIN x_details d ON d.item_id = c.item_id GROUP BY c.event_name""",
+    """SELECT c.event_name, count(*) AS items, count(DISTINCT c.promo_start) AS starts FROM x_calendar c
+JOIN x_lead d ON d.item_id = c.item_id GROUP BY c.event_name""",
 )
 def staged_views(spark, folder):
     _, _, details, standards_ = _calendar(spark, folder)

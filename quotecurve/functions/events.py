@@ -5,27 +5,24 @@ from datetime import date
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Title patterns for each event class. Order matters: the first class
-# with a matching pattern wins. Classes in SEASONAL also need a start in season.
+# Each event class with its title patterns, and the (month, first day of that month) in one of
+# which it must start, if it is bound to a season. Order matters: the first class that fits wins.
 EVENT_PATTERNS = [
-    ("BSS", ["%BSS%", "%BIG SPRING SALE%"]),
-    ("PRIME DAY", ["%PRIME%DAY%", "%PD%", "%PEBD%"]),
-    ("PBDD", ["%PBDD%"]),
-    ("BLACK FRIDAY", ["%BF%", "%BLACK%FRIDAY%"]),
-    ("CYBER MONDAY", ["%CYBER%MONDAY%", "%CM%"]),
-    ("BOXING WEEK", ["%BOXING WEEK%", "%BOXING DAY%"]),
-    ("T5/11/12", ["%T5%", "%T11%", "%T12%"]),
-    ("PET MONTH", ["%PET MONTH%"]),
-    ("BACK TO SCHOOL", ["%BACK%TO%SCHOOL%"]),
-    ("BACK TO UNIVERSITY", ["%BACK%TO%UNIVERSITY%"]),
+    ("BSS", ["%BSS%", "%BIG SPRING SALE%"], None),
+    ("PRIME DAY", ["%PRIME%DAY%", "%PD%", "%PEBD%"], [(6, 25), (7, 1)]),
+    ("PBDD", ["%PBDD%"], None),
+    ("BLACK FRIDAY", ["%BF%", "%BLACK%FRIDAY%"], None),
+    ("CYBER MONDAY", ["%CYBER%MONDAY%", "%CM%"], None),
+    ("BOXING WEEK", ["%BOXING WEEK%", "%BOXING DAY%"], None),
+    ("T5/11/12", ["%T5%", "%T11%", "%T12%"], None),
+    ("PET MONTH", ["%PET MONTH%"], None),
+    ("BACK TO SCHOOL", ["%BACK%TO%SCHOOL%"], None),
+    ("BACK TO UNIVERSITY", ["%BACK%TO%UNIVERSITY%"], None),
 ]
 OTHER_PROMOTION = "OTHER_PROMOTION"
 NO_PROMOTION = "NO_PROMOTION"
 BASELINE = "BAU"
 
-# Classes bound to a season, as (month, first day of that month).
-SEASONAL = {"PRIME DAY": [(6, 25), (7, 1)]}
-
 # Rank of a class when one item has several promotions.
 EVENT_PRIORITY = {
     "PRIME DAY": 1,
@@ -54,12 +51,10 @@ def event_class(title: Column, start: Column) -> Column:
     """Event class of a promotion from its title and start; a title without a match is OTHER_PROMOTION."""
     text = F.upper(title)
     result = None
-    for name, patterns in EVENT_PATTERNS:
+    for name, patterns, season in EVENT_PATTERNS:
         hit = _any([text.like(p) for p in patterns])
-        if name in SEASONAL:
-            hit = hit & _any(
-                [(F.month(start) == m) & (F.dayofmonth(start) >= d) for m, d in SEASONAL[name]]
-            )
+        if season:
+            hit = hit & _any([(F.month(start) == m) & (F.dayofmonth(start) >= d) for m, d in season])
         result = F.when(hit, name) if result is None else result.when(hit, name)
     return result.otherwise(OTHER_PROMOTION)
 

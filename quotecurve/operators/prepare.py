@@ -26,9 +26,33 @@ def with_products(sales: DataFrame, products: DataFrame) -> DataFrame:
     return joined.withColumn("product", F.coalesce("product", "item_id"))
 
 
+def day_masks(sales: DataFrame) -> DataFrame:
+    """(item_id, price, month, days): the days of a month on which an item sold at a price, as bits of a number.
+
+    A state that later periods are added to without reading earlier sales again; see `merge_day_masks`.
+    """
+    month = F.year("order_date") * 12 + F.month("order_date") - 1
+    day = F.shiftleft(F.lit(1), F.dayofmonth("order_date"))
+    return sales.groupBy("item_id", "price", month.alias("month")).agg(F.bit_or(day).alias("days"))
+
+
+def merge_day_masks(*masks: DataFrame) -> DataFrame:
+    """One state of several: days that occur in more than one count once."""
+    both = masks[0]
+    for other in masks[1:]:
+        both = both.unionByName(other)
+    return both.groupBy("item_id", "price", "month").agg(F.bit_or("days").alias("days"))
+
+
+def days_of_masks(masks: DataFrame) -> DataFrame:
+    """(item_id, price, days_sold) of a merged state."""
+    days = F.coalesce(F.sum(F.bit_count("days")), F.lit(0)).cast("bigint")
+    return masks.groupBy("item_id", "price").agg(days.alias("days_sold"))
+
+
 def days_at_price(sales: DataFrame) -> DataFrame:
     """Number of different days on which an item sold at a price."""
-    return sales.groupBy("item_id", "price").agg(F.countDistinct("order_date").alias("days_sold"))
+    return days_of_masks(day_masks(sales))
 
 
 def with_days_at_price(sales: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from ..functions import text
 from ..functions.events import BASELINE
 from .choose import best_row, nearest_rows, rows_at_price
 from .joins import salted_join
-from .ranks import quantiles
+from .ranks import quantiles, ranked_values
 
 ANNUAL_FACTOR = 365
 TOP_UPSIDES = 12
@@ -48,6 +48,9 @@ OPPORTUNITY_ORDER = [
     "revenue_p025",
     "revenue_p50",
     "revenue_p975",
+    "units_p025",
+    "units_p50",
+    "units_p975",
 ]
 
 # Confidence score.
@@ -97,6 +100,27 @@ def ordered_columns(df: DataFrame, order: list[str] = OPPORTUNITY_ORDER) -> Data
     return df.select(*[c for c in order if c in df.columns])
 
 
+def slice_rows(rows: DataFrame, items: list[str] | None = None, products: list[str] | None = None) -> DataFrame:
+    """Rows of some items, some products, or both; all rows where neither is named."""
+    out = rows
+    if items is not None:
+        out = out.where(F.col("item_id").isin(*items))
+    if products is not None:
+        out = out.where(F.col("product").isin(*products))
+    return out
+
+
+def curve_in_price_order(curve: DataFrame, price: str = "asp", by: str = "product") -> DataFrame:
+    """Curve rows of each product by rising price, with their `place` (1 first; equal prices share it).
+
+    Price points of a product are ranked by its own cut values, so no task holds a whole product.
+    """
+    spots = curve.where(F.col(price).isNotNull()).groupBy(by, F.col(price).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    places = ranked_values(spots, "_p", "_n", by=(by,)).select(by, "_p", (F.col("code") + 1).cast("int").alias("place"))
+    met = curve.join(places, curve[by].eqNullSafe(places[by]) & (curve[price] == places["_p"]), "left")
+    return met.select(*[curve[c] for c in curve.columns], "place").orderBy(by, F.col(price).asc_nulls_last())
+
+
 def with_actuals(curve: DataFrame, periods: DataFrame, fan_out: bool = False) -> DataFrame:
     """Actual revenue on the curve rows.
 

@@ -19,10 +19,14 @@ PRIOR_LOW = 0.2
 SMALLEST_RADIUS = 2.220446049250313e-16
 # Bandwidth search.
 BANDWIDTHS = 15
+# Price bins of the smoothed histogram, and how many on each side are averaged.
+DENSITY_BINS = 50
+DENSITY_REACH = 2
 FOLDS = 5
 
 _TERMS = 20  # series terms of the kernel sums
 _REACH = 9  # cells on each side; a kernel further away is below 1e-17
+_LEFT_OUT = 28.0  # what lies further out weighs less than exp(-28) of the sum
 _SMALL_MASS = 1e-3  # below this the series is too coarse in relation, and the sum is taken in logarithms
 
 
@@ -191,29 +195,46 @@ def bandwidth_scores(rows: DataFrame, row_key: list[str], by: str = "product") -
         .join(mass.drop("n", "h"), [*keys, "cents"], "left")
     )
     near = scored.where(F.col("mass") >= _SMALL_MASS).withColumn("log_mass", F.ln("mass"))
-    far = _far_log_mass(scored.where(F.coalesce("mass", F.lit(0.0)) < _SMALL_MASS), counts, by)
+    far = _far_log_mass(scored.where(F.coalesce("mass", F.lit(0.0)) < _SMALL_MASS), train, by)
     scale = F.ln(F.col("train_size") * F.col("h") * F.lit((2 * 3.141592653589793) ** 0.5))
     told = near.unionByName(far)
     return told.groupBy(by, "i", "h").agg(F.sum(F.col("n") * (F.col("log_mass") - scale)).alias("score"))
 
 
-def _far_log_mass(queries: DataFrame, counts: DataFrame, by: str) -> DataFrame:
-    """`queries` (group, held, cents, h) with log_mass, the logarithm of the exact kernel sum.
+def _far_log_mass(queries: DataFrame, train: DataFrame, by: str) -> DataFrame:
+    """`queries` (group, i, held, cents, h, train_size) with log_mass, the logarithm of the kernel sum.
 
-    For prices far from all others of the training folds: the sum over the group's distinct prices is
-    taken relative to the nearest one, so it never underflows. No pairs of prices are written out.
+    For prices far from all others of the training folds. The nearest price on each side is found in price
+    order; from there cells one bandwidth wide are read outward until all that is left weighs less than
+    1e-12 of the sum, which is taken relative to the nearest price and so never underflows.
     """
-    spots = counts.withColumn("held", F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1)))).where(F.col("held") != F.col("fold"))
-    spots = spots.groupBy(by, "held", "cents").agg(F.sum("n").alias("n"))
-    arrays = spots.groupBy(by, "held").agg(F.collect_list(F.struct("cents", "n")).alias("refs"))
-
-    def gap(ref: Column) -> Column:
-        return F.pow((F.col("cents") - ref["cents"]) / F.col("h"), F.lit(2.0)) / 2
-
-    least = F.array_min(F.transform("refs", gap))
-    met = queries.join(arrays, [by, "held"]).withColumn("least", least)
-    total = F.aggregate("refs", F.lit(0.0), lambda acc, r: acc + r["n"] * F.exp(F.col("least") - gap(r)))
-    return met.withColumn("log_mass", F.ln(total) - F.col("least")).drop("refs", "least")
+    keys = [by, "held", "cents"]
+    refs = train.select(*keys, F.col("cents").alias("ref")).distinct()
+    asked = queries.select(*keys, F.lit(None).cast("bigint").alias("ref")).distinct()
+    order = Window.partitionBy(by, "held").orderBy("cents")
+    before, after = order.rangeBetween(Window.unboundedPreceding, 0), order.rangeBetween(0, Window.unboundedFollowing)
+    sides = refs.unionByName(asked).select(
+        *keys, "ref", F.max("ref").over(before).alias("left"), F.min("ref").over(after).alias("right")
+    )
+    near = sides.where("ref is null").select(*keys, "left", "right")
+    cents, h = F.col("cents"), F.col("h")
+    least = F.least(cents - F.col("left"), F.col("right") - cents).cast("double")
+    met = queries.join(near, keys).withColumn("least", least)
+    spread = F.sqrt(F.col("least") * F.col("least") + 2 * h * h * (F.ln("train_size") + _LEFT_OUT))
+    none = F.array().cast("array<bigint>")
+
+    def cells(low: Column, high: Column) -> Column:
+        return F.when(low <= high, F.sequence(F.floor(low / h), F.floor(high / h))).otherwise(none)
+
+    left = F.coalesce(cells(cents - spread, F.col("left").cast("double")), none)
+    right = F.coalesce(cells(F.col("right").cast("double"), cents + spread), none)
+    reached = met.withColumn("cell", F.explode(F.array_distinct(F.concat(left, right))))
+    placed = train.select(by, "i", "held", F.col("cents").alias("ref"), F.col("n").alias("ref_n"), F.floor(cents / h).alias("cell"))
+    placed = placed.groupBy(by, "i", "held", "cell", "ref").agg(F.sum("ref_n").alias("ref_n"))
+    gap = (F.pow(cents - F.col("ref"), F.lit(2.0)) - F.col("least") * F.col("least")) / (2 * h * h)
+    total = F.sum(F.col("ref_n") * F.exp(-gap))
+    sums = reached.join(placed, [by, "i", "held", "cell"]).groupBy(*queries.columns, "least").agg(total.alias("total"))
+    return sums.withColumn("log_mass", F.ln("total") - F.col("least") * F.col("least") / (2 * h * h)).drop("total", "least")
 
 
 def best_bandwidth(rows: DataFrame, row_key: list[str], by: str = "product") -> DataFrame:
@@ -275,14 +296,59 @@ def rarity_factor(rows: DataFrame, beta: float = 0.5, cap: float = 1.25, tail: f
     """
     counts = price_counts(rows, by)
     cents = F.col("cents").cast("double")
-    limits = counts.groupBy(by).agg(
-        F.percentile(cents, [tail, 1 - tail], F.col("n")).alias("q"), F.avg("n").alias("mean_n")
-    )
+    limits = counts.groupBy(by).agg(F.avg("n").alias("mean_n"))
+    limits = limits.join(quantiles(counts, "cents", "n", [tail, 1 - tail], (by,)).withColumnRenamed("cuts", "q"), by)
     boost = F.least(F.greatest(F.pow(F.col("mean_n") / F.col("n"), F.lit(beta)), F.lit(1.0)), F.lit(cap))
     outside = (cents < F.col("q")[0]) | (cents > F.col("q")[1])
     return counts.join(limits, by).select(by, "cents", F.when(outside, boost).otherwise(1.0).alias("rarity"))
 
 
+def smoothed_density(counts: DataFrame, bins: int = DENSITY_BINS, reach: int = DENSITY_REACH, by: str = "product") -> DataFrame:
+    """(group, bin, density): rows in equal price bins, averaged over `reach` bins on each side, over their mean.
+
+    `counts` has the group, cents and n. A density of one is that of evenly spread rows; a frame over at most
+    `bins` rows of a group.
+    """
+    ends = counts.groupBy(by).agg(F.min("cents").alias("low"), F.max("cents").alias("high"), F.sum("n").alias("size"))
+    held = counts.join(ends, by).groupBy(by, "size", price_bin(bins).alias("bin")).agg(F.sum("n").alias("n"))
+    near = Window.partitionBy(by).orderBy("bin").rangeBetween(-reach, reach)
+    width = F.least(F.col("bin") + reach, F.lit(bins - 1)) - F.greatest(F.col("bin") - reach, F.lit(0)) + 1
+    return held.select(by, "bin", (F.sum("n").over(near) / width / (F.col("size") / F.lit(float(bins)))).alias("density"))
+
+
+def price_bin(bins: int) -> Column:
+    """Number of the equal bin that `cents` lies in, between `low` and `high`."""
+    place = F.floor((F.col("cents") - F.col("low")) * F.lit(bins) / (F.col("high") - F.col("low")))
+    return F.when(F.col("high") > F.col("low"), F.least(place, F.lit(bins - 1))).otherwise(0).cast("int")
+
+
+def smoothed_rarity(
+    rows: DataFrame,
+    beta: float = 0.5,
+    cap: float = 1.25,
+    tail: float = 0.10,
+    bins: int = DENSITY_BINS,
+    reach: int = DENSITY_REACH,
+    by: str = "product",
+) -> DataFrame:
+    """(group, cents, rarity): boost for thinly sold prices in the tails, by a smoothed price histogram.
+
+    density^-beta between 1 and `cap`, only outside the [tail, 1 - tail] quantiles of the group's prices, and
+    in proportion to the distance from the median price (all of it at the furthest price); 1 elsewhere.
+    """
+    counts = price_counts(rows, by)
+    cuts = quantiles(counts, "cents", "n", [tail, 0.5, 1 - tail], (by,)).withColumnRenamed("cuts", "q")
+    ends = counts.groupBy(by).agg(F.min("cents").alias("low"), F.max("cents").alias("high"))
+    placed = counts.join(ends, by).join(cuts, by).withColumn("bin", price_bin(bins))
+    dense = placed.join(smoothed_density(counts, bins, reach, by), [by, "bin"])
+    median, cents = F.col("q")[1], F.col("cents").cast("double")
+    furthest = F.greatest(median - F.col("low"), F.col("high") - median)
+    boost = F.least(F.greatest(F.pow("density", F.lit(-beta)), F.lit(1.0)), F.lit(cap)) - 1
+    outside = (cents < F.col("q")[0]) | (cents > F.col("q")[2])
+    factor = F.when(outside, F.lit(1.0) + boost * F.abs(cents - median) / furthest).otherwise(1.0)
+    return dense.select(by, "cents", factor.alias("rarity"))
+
+
 def leverage_cap(weights: DataFrame, cap: float = 2.0, reach: int = 5, by: str = "product") -> DataFrame:
     """Weights by price point, none above `cap` times the local mean in price order.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import promotions as promo
 from ..operators.attribution import attribute_sales
 from ..operators.shipments import Scope, base_orders
+from ..session import materialise
 from ..sources import retail
 
 
@@ -34,10 +35,13 @@ def retail_inputs(spark: SparkSession, folder: str) -> Inputs:
     )
 
 
-def promotion_calendar(inputs: Inputs, scope: Scope) -> tuple[DataFrame, DataFrame]:
-    """(base promotions, consolidated promotions)."""
-    base = promo.base_promotions(inputs.promotions, inputs.promotion_items, scope)
-    details = promo.promotion_details(promo.raw_events(base))
+def promotion_calendar(inputs: Inputs, scope: Scope, by_year: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(base promotions, consolidated promotions), one leading promotion of an item in all or in every year.
+
+    Promotions in scope and leading promotions are written once, as several steps read them.
+    """
+    base = materialise(promo.base_promotions(inputs.promotions, inputs.promotion_items, scope), "offers")
+    details = materialise(promo.promotion_details(promo.raw_events(base), by_year=by_year), "leading")
     return base, promo.consolidated_promotions(details, promo.event_standards(details))
 
 
@@ -52,9 +56,9 @@ def orders_in_scope(inputs: Inputs, scope: Scope) -> DataFrame:
     )
 
 
-def sales_extract(inputs: Inputs, scope: Scope, dedupe_promos: bool = False) -> DataFrame:
-    """The whole extract as one lazy plan."""
-    base, consolidated = promotion_calendar(inputs, scope)
+def sales_extract(inputs: Inputs, scope: Scope, dedupe_promos: bool = False, by_year: bool = False) -> DataFrame:
+    """The whole extract; only the promotion calendar is written on the way."""
+    base, consolidated = promotion_calendar(inputs, scope, by_year)
     return attribute_sales(orders_in_scope(inputs, scope), consolidated, base, dedupe_promos)
 
 
