@@ -362,7 +362,7 @@ def sanitised(spark, folder):
     return rep.sanitise_predictions(rows)
 
 
-@check("f16_report_columns", "SELECT item_id, product, asp, revenue_actual, revenue_p025, revenue_p50, revenue_p975 FROM curve")
+@check("f16_report_columns", "SELECT item_id, product, asp, revenue_actual, revenue_p025, revenue_p50, revenue_p975, units_p025, units_p50, units_p975 FROM curve")
 def report_columns(spark, folder):
     return rep.ordered_columns(curve(spark, folder))
 
@@ -650,11 +650,8 @@ def selector(spark, folder):
     """SELECT product, asp, CAST(row_number() OVER (PARTITION BY product ORDER BY asp) AS INTEGER) AS place FROM (SELECT DISTINCT product, asp FROM curve)""",
 )
 def in_price_order(spark, folder):
-    from pyspark.sql import Window
-
-    points = ch.rows_at_price(curve(spark, folder)).orderBy("product", "asp")
-    place = F.row_number().over(Window.partitionBy("product").orderBy("asp"))
-    return points.select("product", "asp", place.alias("place"))
+    points = ch.rows_at_price(curve(spark, folder))
+    return rep.curve_in_price_order(points).select("product", "asp", "place")
 
 
 @check(

@@ -8,6 +8,7 @@ from quotecurve.functions import numeric, text
 from quotecurve.operators import elasticity as ela
 from quotecurve.operators import prepare as prep
 from quotecurve.operators.ranks import percentile_ranks
+from quotecurve.operators.report import slice_rows
 from quotecurve.plans.extract import sales_input
 from quotecurve.session import materialise
 from quotecurve.sources import retail
@@ -206,6 +207,17 @@ def days_at_price(spark, folder):
     return plain(prep.days_at_price(sales(spark, folder)))
 
 
+@check(
+    "a04_days_of_merged_masks",
+    "SELECT item_id, cents / 100.0::DOUBLE AS price, count(DISTINCT order_date) AS days_sold FROM sales GROUP BY item_id, cents",
+)
+def days_of_merged_masks(spark, folder):
+    """Two overlapping parts of the sales summed up apart, written, and merged."""
+    rows = sales(spark, folder)
+    parts = [materialise(prep.day_masks(rows.where(c)), "masks") for c in ("shipped_units % 3 < 2", "shipped_units % 3 > 0")]
+    return plain(prep.days_of_masks(prep.merge_day_masks(*parts)))
+
+
 @check(
     "j10_rows_with_days_at_price",
     """SELECT s.item_id, s.order_date, s.cents / 100.0::DOUBLE AS price, s.shipped_units, d.days_sold
@@ -297,12 +309,23 @@ WHERE product = (SELECT min(product) FROM thick) GROUP BY product""",
 )
 def product_slice(spark, folder):
     rows = thick_rows(spark, folder)
-    first = rows.agg(F.min("product").alias("p")).scalar()
-    return rows.where(F.col("product") == first).groupBy("product").agg(
+    first = rows.agg(F.min("product").alias("p")).first()["p"]
+    return slice_rows(rows, products=[first]).groupBy("product").agg(
         F.count(F.lit(1)).alias("n"), F.sum("shipped_units").alias("units")
     )
 
 
+@check(
+    "f12_item_slice",
+    """SELECT item_id, product, count(*) AS n, sum(shipped_units)::BIGINT AS units FROM thick
+WHERE item_id IN (SELECT DISTINCT item_id FROM thick ORDER BY item_id LIMIT 3) GROUP BY ALL""",
+)
+def item_slice(spark, folder):
+    rows = thick_rows(spark, folder)
+    items = [r["item_id"] for r in rows.select("item_id").distinct().orderBy("item_id").limit(3).collect()]
+    return slice_rows(rows, items=items).groupBy("item_id", "product").agg(F.count(F.lit(1)).alias("n"), F.sum("shipped_units").alias("units"))
+
+
 @check(
     "f15_default_columns",
     """SELECT item_id, period_start, event_name, month, cents / 100.0::DOUBLE AS asp, 1.0::DOUBLE AS intercept, 1::BIGINT AS days_asp_valid FROM thick""",

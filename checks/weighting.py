@@ -203,6 +203,27 @@ def rarity(spark, folder):
     return rows.select("product", "cents", F.round("rarity", 8).alias("rarity"))
 
 
+cte(
+    "price_ends",
+    "SELECT product, min(cents) AS low, max(cents) AS high, count(*) AS size, quantile_cont(cents::DOUBLE, [0.1, 0.5, 0.9]) AS q FROM thick GROUP BY product",
+)
+_BIN = "CASE WHEN high > low THEN least(((cents - low) * 50) // (high - low), 49) ELSE 0 END"
+
+
+@check(
+    "c17_smoothed_rarity",
+    f"""SELECT product, cents, round(CASE WHEN cents < q[1] OR cents > q[3] THEN
+  1 + (least(greatest(pow(density, -0.5), 1.0), 1.25) - 1) * abs(cents - q[2]) / greatest(q[2] - low, high - q[2]) ELSE 1.0 END, 8) AS rarity
+FROM (SELECT product, cents, low, high, q, {_BIN} AS bin FROM spots JOIN price_ends USING (product))
+JOIN (SELECT product, bin, sum(n) OVER w / (least(bin + 2, 49) - greatest(bin - 2, 0) + 1) / (size / 50.0::DOUBLE) AS density
+      FROM (SELECT product, size, {_BIN} AS bin, sum(n) AS n FROM spots JOIN price_ends USING (product) GROUP BY ALL)
+      WINDOW w AS (PARTITION BY product ORDER BY bin RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING)) USING (product, bin)""",
+)
+def smoothed(spark, folder):
+    rows = wt.smoothed_rarity(thick_rows(spark, folder))
+    return rows.select("product", "cents", F.round("rarity", 8).alias("rarity"))
+
+
 cte("spot_weights", "SELECT product, cents, count(*) AS n, avg(tw) AS weight FROM aged GROUP BY product, cents")
 
 

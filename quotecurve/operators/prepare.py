@@ -32,7 +32,7 @@ def day_masks(sales: DataFrame) -> DataFrame:
     A state that later periods are added to without reading earlier sales again; see `merge_day_masks`.
     """
     month = F.year("order_date") * 12 + F.month("order_date") - 1
-    day = F.shiftleft(F.lit(1), F.dayofmonth("order_date"))
+    day = F.expr("shiftleft(1L, dayofmonth(order_date) - 1)")
     return sales.groupBy("item_id", "price", month.alias("month")).agg(F.bit_or(day).alias("days"))
 
 

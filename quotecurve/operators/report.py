@@ -115,10 +115,10 @@ def curve_in_price_order(curve: DataFrame, price: str = "asp", by: str = "produc
 
     Price points of a product are ranked by its own cut values, so no task holds a whole product.
     """
-    spots = curve.where(F.col(price).isNotNull()).groupBy(by, F.col(price).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    places = ranked_values(spots, "_p", "_n", by=(by,)).select(by, "_p", (F.col("code") + 1).cast("int").alias("place"))
-    met = curve.join(places, curve[by].eqNullSafe(places[by]) & (curve[price] == places["_p"]), "left")
-    return met.select(*[curve[c] for c in curve.columns], "place").orderBy(by, F.col(price).asc_nulls_last())
+    spots = curve.where(F.col(price).isNotNull()).groupBy(F.col(by).alias("_g"), F.col(price).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    places = ranked_values(spots, "_p", "_n", by=("_g",)).select("_g", "_p", (F.col("code") + 1).cast("int").alias("place"))
+    met = curve.join(places, F.col(by).eqNullSafe(F.col("_g")) & (F.col(price) == F.col("_p")), "left")
+    return met.drop("_g", "_p").orderBy(by, F.col(price).asc_nulls_last())
 
 
 def with_actuals(curve: DataFrame, periods: DataFrame, fan_out: bool = False) -> DataFrame:
