@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions.text import elasticity_label
 from ..session import materialise
 from .joins import salted_join
-from .ranks import percentile_ranks
+from .ranks import percentile_ranks, quantiles
 
 # Smallest group with a slope, offsets inside the logs, share of rows in
 # each trial fit, number of trials.
@@ -17,6 +17,7 @@ TRIAL_PERCENT = 60
 SLICES = 100
 
 _THRESHOLD_MARGIN = 1e-9
+_SPOTS = 200_000  # points that a task compares with the trials
 
 
 def log_points(periods: DataFrame) -> DataFrame:
@@ -102,22 +103,19 @@ def robust_slopes(periods: DataFrame) -> DataFrame:
         .where(F.col("slope").isNotNull())
     )
 
-    spots = points.groupBy("product", "x", "y").agg(F.count(F.lit(1)).alias("rows"))
+    spots = materialise(points.groupBy("product", "x", "y").agg(F.count(F.lit(1)).alias("rows")), "spots")
     y_counts = spots.groupBy("product", "y").agg(F.sum("rows").alias("rows"))
-    middle = y_counts.groupBy("product").agg(F.percentile("y", 0.5, F.col("rows")).alias("median"))
-    limits = (
-        y_counts.join(middle, "product")
-        .groupBy("product")
-        .agg(F.percentile(F.abs(F.col("y") - F.col("median")), 0.5, F.col("rows")).alias("limit"))
-        .withColumn("limit", F.col("limit") + _THRESHOLD_MARGIN)
-    )
+    middle = quantiles(y_counts, "y", "rows", [0.5], ("product",)).select("product", F.col("cuts")[0].alias("median"))
+    off = y_counts.join(middle, "product").groupBy("product", F.abs(F.col("y") - F.col("median")).alias("off")).agg(F.sum("rows").alias("rows"))
+    limits = quantiles(off, "off", "rows", [0.5], ("product",)).select("product", (F.col("cuts")[0] + _THRESHOLD_MARGIN).alias("limit"))
 
     models = (
         trials.groupBy("product")
         .agg(F.collect_list(F.struct("trial", "slope", "level")).alias("trials"))
         .join(limits, "product")
     )
-    parts = int(periods.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # every spot meets a hundred trials, so tasks are counted by spots and not by bytes
+    parts = max(int(periods.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-spots.count() // _SPOTS))
     judged = salted_join(
         spots, models, on=["product"], spread_by=["x", "y"], how="inner", salts=8, parts=parts
     )
