@@ -130,6 +130,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES = {
     "op3_quality_rules": _OP3,
+    "op7_sharding": twins.OP7,
+    "op8_embedding_near_dedup": twins.OP8,
+    "op9_suffix_array_dedup": twins.OP9,
     "op10_warc": _OP10,
     "op12_approximate_nearest_neighbours": twins.OP12,
     "op13_conversation_structure_repair": twins.OP13,

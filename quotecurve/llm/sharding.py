@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quotecurve.llm.common import materialise
 
 SHARDS = 24
+RANGE_ROWS = 1_000_000  # rows that a task puts in order, about
 _STEP = np.uint64(2862933555777941757)  # multiplier of the published generator (fixed)
 
 
@@ -61,7 +62,7 @@ def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", coun
         "placed",
     )
     order = [F.col("id").asc_nulls_first(), "text_crc32", "size", "row"]
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-placed.count() // RANGE_ROWS))
     dealt = placed.repartitionByRange(ranges, "shard", *order).withColumn("part", F.spark_partition_id())
     dealt = materialise(dealt, "ranges")
     sizes = dealt.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))

@@ -423,7 +423,9 @@ def repeats_cut(
     tokens = materialise(blocks.groupBy("block").applyInArrow(_tokens_of_block(width, n_parts), _ddl(_TOKENS)), "tokens")
     cuts = [k / n_blocks for k in range(1, n_blocks)]
     sample = tokens.where("part < 0").select(F.explode("sample").alias("lead"))
-    splitters = sample.agg(F.percentile_approx("lead", cuts).alias("s")).first()["s"] if cuts else []
+    # the sketch is finer than the buckets, so that splitters differ however many there are
+    sketch = F.percentile_approx("lead", cuts, F.lit(max(10_000, 20 * n_blocks)))
+    splitters = sample.agg(sketch.alias("s")).first()["s"] if cuts else []
     splitters = np.array(splitters or [], np.int64)  # one number for each bucket
     shared = tokens.where("part >= 0").groupBy("part").applyInArrow(_shared_tokens, _ddl(_SHARED))
     by_block = blocks.groupBy("block")

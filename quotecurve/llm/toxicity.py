@@ -14,6 +14,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -136,7 +137,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) ->
 
 
 def _counts(texts: DataFrame) -> DataFrame:
-    """Rows (place, toxic, n): token counts by class and table place; stems have places from 2^TOKEN_BITS on."""
+    """Rows (place, clean, toxic): token counts by table place; stems have places from 2^TOKEN_BITS on."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = (1 << TOKEN_BITS) + (1 << STEM_BITS)
@@ -148,12 +149,12 @@ def _counts(texts: DataFrame) -> DataFrame:
                     for token, n in Counter(tokens(text.decode("utf-8", "replace"))).items():
                         table[toxic, _place(token, TOKEN_BITS)] += n
                         table[toxic, (1 << TOKEN_BITS) + _place(token[:STEM], STEM_BITS)] += n
-        toxic, place = np.nonzero(table)
-        arrays = [pa.array(place, pa.int32()), pa.array(toxic, pa.int32()), pa.array(table[toxic, place], pa.int64())]
-        yield pa.RecordBatch.from_arrays(arrays, names=["place", "toxic", "n"])
+        place = np.flatnonzero(table.any(axis=0))
+        arrays = [pa.array(place, pa.int32()), pa.array(table[0, place], pa.int64()), pa.array(table[1, place], pa.int64())]
+        yield pa.RecordBatch.from_arrays(arrays, names=["place", "clean", "toxic"])
 
-    found = texts.select("text", "toxic").mapInArrow(work, "place int, toxic int, n long")
-    return found.groupBy("place", "toxic").agg(F.sum("n").alias("n"))
+    found = texts.select("text", "toxic").mapInArrow(work, "place int, clean long, toxic long")
+    return found.groupBy("place").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
 
 def _odds(toxic: np.ndarray, clean: np.ndarray, weight: float, centre: np.ndarray, base: float) -> np.ndarray:
@@ -177,20 +178,23 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return beta
 
 
-def _evidence(texts: DataFrame, model: Model) -> DataFrame:
-    """Rows (toxic, length, scores): the segment scores of each text."""
+def _told(texts: DataFrame, model: Model, kinds: str, tell) -> pd.DataFrame:
+    """A few numbers for each text of the sample: `tell` turns segment scores and the length into them."""
     sent = texts.sparkSession.sparkContext.broadcast(model)
+    names = ["toxic", *(kind.split()[0] for kind in kinds.split(", "))]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, _ROWS):
                 part = batch.slice(at, _ROWS)
                 scored = [sent.value.token_scores(t.decode("utf-8", "replace")) for t in text_bytes(part.column(0))]
-                found = pa.array([[v for _, _, v in segments(x)] for x in scored], pa.list_(pa.float64()))
-                arrays = [part.column(1), pa.array([len(x) for x in scored], pa.int64()), found]
-                yield pa.RecordBatch.from_arrays(arrays, names=["toxic", "length", "scores"])
+                rows = [tell(sent.value, np.array([v for _, _, v in segments(x)]), len(x)) for x in scored]
+                columns = [pa.array([float(r[k]) for r in rows], pa.float64()) for k in range(len(names) - 1)]
+                yield pa.RecordBatch.from_arrays([part.column(1), *columns], names=names)
 
-    return texts.select("text", "toxic").mapInArrow(work, "toxic int, length long, scores array<double>")
+    found = texts.select("text", "toxic").mapInArrow(work, f"toxic int, {kinds}").toPandas()
+    sent.destroy()
+    return found
 
 
 def _gumbel(best: np.ndarray, length: np.ndarray) -> tuple[float, float]:
@@ -205,25 +209,27 @@ def _gumbel(best: np.ndarray, length: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """The model of a sample of labelled documents; without labels of both kinds it calls nothing toxic.
 
-    To the driver come the two count tables (of fixed size) and, for the calibration, the segment scores of
-    the sample's texts that the counts did not see.
+    To the driver come the two count tables (of fixed size) and, for the calibration, four numbers for each of
+    the sample's texts that the counts did not see: best segment and length, then both features.
     """
     sample = _labelled(docs, labels, id_col, text_col)
-    table = np.zeros((2, (1 << TOKEN_BITS) + (1 << STEM_BITS)), np.float32)
+    table = np.zeros((2, (1 << TOKEN_BITS) + (1 << STEM_BITS)), np.float64)
     got = _counts(sample.where("fold <> 0")).toPandas()
-    table[got["toxic"].to_numpy(), got["place"].to_numpy()] = got["n"].to_numpy()
+    for kind, name in enumerate(("clean", "toxic")):
+        table[kind, got["place"].to_numpy()] = got[name].to_numpy()
+    del got
     (clean, toxic), (stem_clean, stem_toxic) = table[:, : 1 << TOKEN_BITS], table[:, 1 << TOKEN_BITS :]
     base = float(np.log((toxic.sum() + 1) / (clean.sum() + 1)))
     stem_odds = _odds(stem_toxic, stem_clean, STEM_WEIGHT, np.zeros(1), base)
     model = Model(toxic, clean, stem_odds, base)
-    rows = _evidence(sample.where("fold = 0"), model).toPandas()
-    truth, length = rows["toxic"].to_numpy(), rows["length"].to_numpy()
-    best = np.array([max(s, default=0.0) for s in rows["scores"]])
-    if len(set(truth.tolist())) < 2 or not toxic.sum():
+    apart = sample.where("fold = 0")
+    best = _told(apart, model, "best double, length double", lambda model, scores, n: (scores.max(initial=0.0), n))
+    if best["toxic"].nunique() < 2 or not toxic.sum():
         return model
-    model.rate, model.log_k = _gumbel(best[truth == 0], length[truth == 0])
-    pairs = [model.features(np.asarray(s), n) for s, n in zip(rows["scores"], length, strict=True)]
-    model.curve = _logistic(np.array(pairs), truth)
+    plain = best["toxic"].to_numpy() == 0
+    model.rate, model.log_k = _gumbel(best["best"].to_numpy()[plain], best["length"].to_numpy()[plain])
+    pairs = _told(apart, model, "first double, second double", lambda model, scores, n: model.features(scores, n))
+    model.curve = _logistic(pairs[["first", "second"]].to_numpy(), pairs["toxic"].to_numpy())
     return model
 
 

@@ -1,7 +1,7 @@
 """DuckDB twins of the training-data queries whose rules SQL can state."""
 
 from quotecurve.llm import conversations as conv
-from quotecurve.llm import vptree
+from quotecurve.llm import hnsw, sharding, suffix, vptree
 
 _SPACE = r"[^\x20\x09-\x0D]"
 
@@ -105,3 +105,66 @@ ranked AS (
   SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id ASC NULLS LAST, other) AS place FROM pairs)
 SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM ranked WHERE place <= {vptree.NEAREST}
 """
+
+_MODULUS = "CAST('18446744073709551616' AS HUGEINT)"
+_BYTES = "list_transform(range(strlen(body)), lambda i: CAST('0x' || substr(hex(encode(body)), CAST(2 * i + 1 AS INTEGER), 2) AS BIGINT))"
+
+OP7 = f"""
+WITH RECURSIVE crc AS (SELECT {_CRC_TABLE} AS t),
+d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
+sums AS (
+  SELECT body, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {_BYTES}),
+    lambda c, b: xor(crc.t[CAST(xor(c, b) & 255 AS INTEGER) + 1], c >> 8)), 4294967295) AS text_crc32
+  FROM (SELECT DISTINCT body FROM d), crc),
+jumps AS (
+  SELECT id, n, (id + {_MODULUS}) % {_MODULUS} AS key, CAST(0 AS BIGINT) AS shard, CAST(0 AS BIGINT) AS hop
+  FROM (SELECT DISTINCT CAST(coalesce(doc_id, 0) AS HUGEINT) AS id FROM d) AS k, (VALUES ({sharding.SHARDS}), ({sharding.SHARDS + 1})) AS s(n)
+  UNION ALL
+  SELECT id, n, nxt, hop, CAST(floor((hop + 1) * (2147483648.0::DOUBLE / CAST((nxt // 8589934592) + 1 AS DOUBLE))) AS BIGINT)
+  FROM (SELECT *, (key * CAST('2862933555777941757' AS HUGEINT) + 1) % {_MODULUS} AS nxt FROM jumps WHERE hop < n)),
+places AS (SELECT id, CAST(max(shard) FILTER (WHERE n = {sharding.SHARDS}) AS INTEGER) AS shard,
+  CAST(max(shard) FILTER (WHERE n > {sharding.SHARDS}) AS INTEGER) AS grown_shard FROM jumps WHERE hop >= n GROUP BY id)
+SELECT doc_id, CAST(strlen(body) + 8 AS BIGINT) AS size, text_crc32, 'key' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, strlen(body)) - 1 AS slot, grown_shard
+FROM d JOIN sums USING (body) JOIN places ON id = coalesce(doc_id, 0)
+"""
+
+OP8 = f"""
+WITH RECURSIVE e AS (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+fine AS (
+  SELECT r, label, v, sqrt(list_inner_product(v, v)) AS size FROM e
+  WHERE label IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.r AS a, b.r AS b FROM fine a JOIN fine b ON a.label = b.label AND a.r <> b.r AND len(a.v) = len(b.v)
+  WHERE list_inner_product(a.v, b.v) / (a.size * b.size) >= CAST({hnsw.COSINE} AS DOUBLE)),
+reach AS (SELECT r, r AS node FROM e UNION SELECT reach.r, links.b FROM reach JOIN links ON links.a = reach.node),
+least AS (SELECT reach.r, min(e.vec_id) AS component_id FROM reach JOIN e ON e.r = reach.node GROUP BY reach.r),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept
+FROM e JOIN least USING (r) LEFT JOIN counts ON counts.a = e.r
+"""
+
+_W = suffix.WIDTH
+
+OP9 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS h FROM documents),
+starts AS (
+  SELECT r, doc_id, i, h[i + 1:i + {_W}] AS w
+  FROM (SELECT r, doc_id, h, unnest(range(octet_length(h) - {_W - 1})) AS i FROM d WHERE doc_id IS NOT NULL AND octet_length(h) >= {_W})),
+firsts AS (SELECT w, min(doc_id) AS least FROM starts GROUP BY w HAVING min(doc_id) < max(doc_id)),
+hits AS (SELECT r, i FROM starts JOIN firsts USING (w) WHERE least < doc_id),
+marked AS (SELECT r, i, coalesce(i > lag(i) OVER (PARTITION BY r ORDER BY i) + {_W}, true) AS fresh FROM hits),
+runs AS (
+  SELECT r, min(i) AS a, max(i) + {_W} AS b FROM (SELECT r, i, count(*) FILTER (WHERE fresh) OVER (PARTITION BY r ORDER BY i) AS k FROM marked)
+  GROUP BY r, k),
+pieces AS (
+  SELECT r, a, CASE WHEN a > coalesce(lag(b) OVER w, 0) THEN hex(h[coalesce(lag(b) OVER w, 0) + 1:a]) ELSE '' END AS p
+  FROM runs JOIN d USING (r) WINDOW w AS (PARTITION BY r ORDER BY a)),
+cut AS (
+  SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS b FROM runs GROUP BY r),
+kept AS (SELECT r, string_agg(p, '' ORDER BY a) AS p FROM pieces GROUP BY r)
+SELECT doc_id, CAST(octet_length(h) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(p, '') || CASE WHEN octet_length(h) > coalesce(b, 0) THEN hex(h[coalesce(b, 0) + 1:octet_length(h)]) ELSE '' END)) AS kept_sha256
+FROM d LEFT JOIN cut USING (r) LEFT JOIN kept USING (r)
+"""

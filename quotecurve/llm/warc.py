@@ -23,6 +23,7 @@ from quotecurve.llm.common import ensure_checkpoint_dir, materialise, text_bytes
 
 MIN_BYTES = 100  # shorter payloads are never revisits
 ARCHIVE_BYTES = 64 << 20  # an archive is closed when its records reach this size
+LEAST_BYTES, TASK_BYTES = 1 << 20, 64 << 20  # archive bytes that a reading task takes: at least, about, and at most, about
 RANGE_BYTES = 4 << 20  # records of so many bytes are read by one task step
 DATE = "2000-01-01T00:00:00Z"  # WARC-Date of written records
 RECORDS, INDEX = "archive/records.warc.gz", "indexes/records.jsonl"
@@ -273,4 +274,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
 
     index = record_index(archives)
     stretch = (F.col("offset") / RANGE_BYTES).cast("long")
-    return index.repartition("path", stretch).sortWithinPartitions("path", "offset").mapInArrow(work, _RECORDS)
+    size = archives.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("n")).first()["n"]
+    busy = min(2 * archives.sparkSession.sparkContext.defaultParallelism, size // LEAST_BYTES)
+    parts = max(1, busy, -(-size // TASK_BYTES))  # by the records' bytes: index rows are too small to tell
+    return index.repartition(parts, "path", stretch).sortWithinPartitions("path", "offset").mapInArrow(work, _RECORDS)
