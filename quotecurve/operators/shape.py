@@ -174,7 +174,7 @@ def taper_edges(
 
 
 def ordered_bands(curve: DataFrame, low: str, middle: str, high: str) -> DataFrame:
-    """Bands that never cross: the three values in ascending order."""
-    ordered = F.array_sort(F.array(low, middle, high))
-    out = curve.withColumn("_o", ordered)
+    """Bands that never cross: the three values in ascending order; a row that lacks one stays as it is."""
+    known = F.col(low).isNotNull() & F.col(middle).isNotNull() & F.col(high).isNotNull()
+    out = curve.withColumn("_o", F.when(known, F.array_sort(F.array(low, middle, high))).otherwise(F.array(low, middle, high)))
     return out.withColumns({low: F.col("_o")[0], middle: F.col("_o")[1], high: F.col("_o")[2]}).drop("_o")
