@@ -8,11 +8,13 @@ from their leading tokens on, about one suffix in fourteen.
    once as a bucketed table, so that later steps read them without a shuffle.
 2. Each block sends the hashes of its leading tokens, once each, to parts by hash. A part answers which
    of them stand in two or more documents. All others cannot hold a repeated passage.
-3. For the rest, the stretch of windows led by one token goes to a bucket: sampled splitters cut the
-   leading tokens into ranges, a token so common that it spans ranges is shared out by hash. A bucket
-   first joins equal stretches, then sorts the windows of the different ones by multikey quicksort on
-   characters of eight bytes, leaving out groups that can no longer meet in two documents. Equal tokens
-   never straddle a boundary between buckets, and across it neighbours differ in their first bytes.
+3. For the rest, a block folds equal stretches of windows led by one token: those of its least document go
+   on, the others are lost whatever stands elsewhere. Sampled splitters cut the leading tokens into ranges,
+   a bucket each; windows whose leading bytes fill whole ranges are shared out one by one, by their own
+   hash. A bucket joins equal stretches, then sorts the windows of the different ones by multikey
+   quicksort (three-way partitions on characters of eight bytes), leaving out groups that can no longer
+   meet in two documents. Suffixes in two ranges differ in their first eight bytes, so the neighbours at
+   a boundary share no window and there is nothing to hand over.
 4. Each block gets back the windows to remove and cuts them out.
 """
 
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotecurve.llm.common import ensure_checkpoint_dir, materialise, total_text_bytes
+from quotecurve.session import discard
 
 WIDTH = 50
 TOKEN = 24  # bytes of a leading token
@@ -34,6 +37,7 @@ MAX_FILES = 50_000  # buckets of the table of blocks; one bucket holds several b
 _STRETCH = 64  # windows of a stretch, one bit each
 _PIECE = 1 << 17  # windows hashed at once
 _SAMPLES = 256  # leading tokens that a block adds to the sample
+RANGES = 4096  # ranges of leading tokens, at most; beyond that a range is several buckets
 _KEY_BYTES = 7  # 48 bits of a token's hash, and whether the block holds it twice
 _MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -158,6 +162,20 @@ def _unpack(data: bytes, width: int = _KEY_BYTES) -> np.ndarray:
     return out.view("<u8").ravel().astype(np.uint64)
 
 
+def _window_hashes(buffer: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
+    """Hash of the whole window at each place."""
+    words, value = _words(buffer), np.zeros(len(start), np.uint64)
+    for step in _steps(width):
+        value = (value ^ words[start + step]) * _MULTIPLIERS[1]
+        value ^= value >> np.uint64(31)
+    return value * _MULTIPLIERS[2]
+
+
+def _steps(width: int) -> list[int]:
+    """Places of the eight-byte characters of a window; the last may overlap the one before."""
+    return [*range(0, width - 8, 8), width - 8]
+
+
 def _slices(groups: np.ndarray) -> Iterator[tuple[int, slice]]:
     """(group, slice) of the runs of a sorted array."""
     if not len(groups):
@@ -227,7 +245,23 @@ def _shared_tokens(table: pa.Table) -> pa.Table:
     return _table([(b, _pack(key[s], 6)) for b, s in _slices(block)], _SHARED)
 
 
-def _contexts_of_block(width: int, splitters: np.ndarray):
+def _first_of_each(texts: list[bytes], ids: np.ndarray) -> np.ndarray:
+    """Which entries belong to the least id among those of equal text."""
+    seen: dict[bytes, int] = {}
+    same = np.array([seen.setdefault(text, len(seen)) for text in texts], np.int64)
+    least = np.full(len(seen), np.iinfo(np.int64).max)
+    np.minimum.at(least, same, ids)
+    return ids == least[same]
+
+
+def _full_masks(count: np.ndarray) -> np.ndarray:
+    return ~np.uint64(0) >> (np.uint64(_STRETCH) - count.astype(np.uint64))
+
+
+def _contexts_of_block(width: int, splitters: np.ndarray, buckets: int):
+    """Stretches by bucket; under a bucket of its own, below zero, what a block's copies lose by themselves."""
+    per_range = -(-buckets // (len(splitters) + 1))
+
     def work(texts: pa.Table, shared: pa.Table) -> pa.Table:
         if not len(shared) or not len(texts):
             return _table([], _CONTEXTS)
@@ -239,19 +273,32 @@ def _contexts_of_block(width: int, splitters: np.ndarray):
         short = _short(spread)
         at = np.minimum(np.searchsorted(wanted, short), len(wanted) - 1)
         on = wanted[at] == short
-        start, count, owner, key, spread = start[on], count[on], owner[on], key[on], spread[on]
+        start, count, ids, key, spread = start[on], count[on], block.ids[owner[on]], key[on], spread[on]
+        whole = block.buffer.tobytes()
+        ends = (start + count + width - 1).tolist()
+        first = _first_of_each([whole[x:y] for x, y in zip(start.tolist(), ends, strict=True)], ids)
+        rows = []
+        if not first.all():
+            lost = start[~first].astype("<u4").tobytes()
+            rows.append((-1 - number, number, b"", _full_masks(count[~first]).astype("<u8").tobytes(), b"", lost))
+        start, count, ids, key, spread = start[first], count[first], ids[first], key[first], spread[first]
         lead = block.leading(start, key)
         low, high = np.searchsorted(splitters, lead, "left"), np.searchsorted(splitters, lead, "right")
-        bucket = low + ((spread >> np.uint64(8)) % (high - low + 1).astype(np.uint64)).astype(np.int64)
+        bucket = low * per_range + ((spread >> np.uint64(8)) % np.uint64(per_range)).astype(np.int64)
+        hot = high - low > 1  # these leading bytes fill a range of their own
+        times = np.where(hot, count, 1)
+        inner = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        single = np.repeat(hot, times)
+        start, ids = np.repeat(start, times) + inner, np.repeat(ids, times)
+        count, bucket = np.where(single, 1, np.repeat(count, times)), np.repeat(bucket, times)
+        bucket[single] = (_window_hashes(block.buffer, start[single], width) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        rows = []
-        whole = block.buffer.data
         for b, s in _slices(bucket[order]):
             take = order[s]
             begin, end = start[take].tolist(), (start[take] + count[take] + width - 1).tolist()
             text = b"".join([whole[x:y] for x, y in zip(begin, end, strict=True)])
             rows.append(
-                (b, number, text, count[take].astype(np.uint8).tobytes(), block.ids[owner[take]].tobytes(), start[take].astype("<u4").tobytes())
+                (b, number, text, count[take].astype(np.uint8).tobytes(), ids[take].tobytes(), start[take].astype("<u4").tobytes())
             )
         return _table(rows, _CONTEXTS)
 
@@ -261,34 +308,60 @@ def _contexts_of_block(width: int, splitters: np.ndarray):
 def _least_by_window(buffer: np.ndarray, places: np.ndarray, group: np.ndarray, ids: np.ndarray, width: int) -> np.ndarray:
     """Least id over all equal windows, for each window: multikey quicksort on eight-byte characters.
 
-    `group` tells windows apart that cannot be equal. Groups that hold one id only drop out early.
+    `group` is sorted and tells windows apart that cannot be equal. All groups go through a partition at
+    once: windows whose character is below, at or above that of the group's pivot. The middle part goes on
+    with the next character, the outer ones with the same. Groups that hold one id only drop out.
     """
     best = ids.copy()
-    if not len(places):
-        return best
-    words = _words(buffer, ">u8")
-    active = np.arange(len(places))
-    steps = [*range(0, width - 8, 8), width - 8]
-    for step in steps:
-        char = words[places[active] + step].astype(np.uint64)
-        order = np.lexsort((char, group))
-        active, group, char = active[order], group[order], char[order]
-        fresh = np.append(True, (group[1:] != group[:-1]) | (char[1:] != char[:-1]))
+    words, steps = _words(buffer, ">u8"), np.array(_steps(width))
+    active, depth = np.arange(len(places)), np.zeros(len(places), np.int64)
+    fresh = np.append(True, group[1:] != group[:-1])[: len(places)]
+    turn = 0
+    while len(active):
         first = np.flatnonzero(fresh)
-        low, high = np.minimum.reduceat(ids[active], first), np.maximum.reduceat(ids[active], first)
         size = np.diff(np.append(first, len(active)))
-        if step == steps[-1]:
-            best[active] = np.repeat(low, size)
-            break
-        mixed = np.repeat(low != high, size)
-        group, active = (np.cumsum(fresh) - 1)[mixed], active[mixed]
+        low, high = np.minimum.reduceat(ids[active], first), np.maximum.reduceat(ids[active], first)
+        sorted_out = depth[first] == len(steps)
+        done = np.repeat(sorted_out, size)
+        best[active[done]] = np.repeat(low, size)[done]
+        going = np.repeat((low != high) & ~sorted_out, size)
+        active, depth, fresh = active[going], depth[going], fresh[going]
         if not len(active):
             break
+        first = np.flatnonzero(fresh)
+        size = np.diff(np.append(first, len(active)))
+        char = words[places[active] + steps[depth]].astype(np.uint64)
+        turn += 1
+        pivot = np.repeat(char[first + _draws(first, turn) % size], size)
+        side = (char >= pivot).astype(np.int8) + (char > pivot)
+        # stable places of the three parts of each group
+        home, place, filled = np.repeat(first, size), np.empty(len(active), np.int64), np.zeros(len(first), np.int64)
+        opens = np.zeros(len(active) + 1, bool)
+        for part in range(3):
+            mine = side == part
+            before = np.cumsum(mine) - mine
+            rank = before - before[home]
+            place[mine] = (home + np.repeat(filled, size) + rank)[mine]
+            opens[first + filled] = True
+            filled = filled + np.add.reduceat(mine.astype(np.int64), first)
+        moved = np.empty_like(active)
+        moved[place] = active
+        deeper = np.empty_like(depth)
+        deeper[place] = depth + (side == 1)
+        active, depth, fresh = moved, deeper, opens[:-1]
     return best
 
 
+def _draws(places: np.ndarray, turn: int) -> np.ndarray:
+    """Numbers that pick pivots, other ones each turn."""
+    value = (places.astype(np.uint64) + np.uint64(turn)) * _MULTIPLIERS[0]
+    return ((value ^ (value >> np.uint64(29))) >> np.uint64(8)).astype(np.int64) & 0x7FFFFFFF
+
+
 def _compare_bucket(width: int):
     def work(table: pa.Table) -> pa.Table:
+        if table.column("bucket")[0].as_py() < 0:
+            return table.select(["block", "places", "counts"]).rename_columns(["block", "places", "masks"])
         data = b"".join(table.column("bytes").to_pylist())
         count = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8).astype(np.int64)
         ids = np.frombuffer(b"".join(table.column("ids").to_pylist()), np.int64)
@@ -307,6 +380,7 @@ def _compare_bucket(width: int):
         key = _window_keys(buffer, width)[begins[example]]
         _, token, tally = np.unique(key, return_inverse=True, return_counts=True)
         varied = np.flatnonzero(tally[token] > 1)
+        varied = varied[np.argsort(token[varied], kind="stable")]
         n_windows = count[example[varied]]
         offset = np.zeros(len(seen), np.int64)
         offset[varied] = np.cumsum(n_windows) - n_windows
@@ -314,8 +388,7 @@ def _compare_bucket(width: int):
         places = np.repeat(begins[example[varied]], n_windows) + inner
         by_window = _least_by_window(buffer, places, np.repeat(token[varied], n_windows), np.repeat(least[varied], n_windows), width)
         # what each stretch loses
-        full = ~np.uint64(0) >> (np.uint64(_STRETCH) - count.astype(np.uint64))
-        mask = np.where(least[same] < ids, full, np.uint64(0))
+        mask = np.where(least[same] < ids, _full_masks(count), np.uint64(0))
         partly = np.zeros(len(seen), bool)
         partly[varied] = True
         open_rows = np.flatnonzero(partly[same] & (mask == 0))
@@ -386,10 +459,9 @@ def _fold_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _table(rows, pa.schema(list(zip(names, types, strict=True)))).to_batches()
 
 
-def _blocks(keyed: DataFrame, n_blocks: int) -> DataFrame:
+def _blocks(keyed: DataFrame, n_blocks: int, name: str) -> DataFrame:
     """The different texts, dealt into blocks, as a bucketed table in the shared folder."""
     spark: SparkSession = keyed.sparkSession
-    name = f"suffix_blocks_{uuid.uuid4().hex}"
     block = F.pmod(F.xxhash64("sha"), F.lit(n_blocks)).cast("int")
     folded = keyed.select(block.alias("block"), "sha", "id", F.col("body").cast("binary").alias("body"))
     folded = folded.mapInArrow(_fold_copies, "block int, sha binary, id long, body binary")
@@ -414,22 +486,27 @@ def repeats_cut(
     Copies of the text with a greater id lose all their bytes. Rows with a null id or a shorter text are
     not in the result: nothing is removed from them, and they remove nothing elsewhere.
     """
+    return _repeats_cut(docs, id_col, text_col, width, whole_characters, f"suffix_blocks_{uuid.uuid4().hex}")
+
+
+def _repeats_cut(docs: DataFrame, id_col: str, text_col: str, width: int, whole_characters: bool, name: str) -> DataFrame:
     if width < TOKEN + 8:
         raise ValueError(f"width must be at least {TOKEN + 8}")
     keyed = _keyed(docs, id_col, text_col).where((F.col("n_bytes") >= width) & F.col("id").isNotNull())
     total = total_text_bytes(keyed, "body")
     n_blocks, n_parts = -(-total // BLOCK_BYTES) or 1, -(-total // PART_BYTES) or 1
-    blocks = _blocks(keyed, n_blocks)
+    blocks = _blocks(keyed, n_blocks, name)
     tokens = materialise(blocks.groupBy("block").applyInArrow(_tokens_of_block(width, n_parts), _ddl(_TOKENS)), "tokens")
-    cuts = [k / n_blocks for k in range(1, n_blocks)]
+    n_ranges = min(n_blocks, RANGES)
+    cuts = [k / n_ranges for k in range(1, n_ranges)]
     sample = tokens.where("part < 0").select(F.explode("sample").alias("lead"))
-    # the sketch is finer than the buckets, so that splitters differ however many there are
-    sketch = F.percentile_approx("lead", cuts, F.lit(max(10_000, 20 * n_blocks)))
+    # finer than the ranges, so that splitters differ; at most RANGES numbers come to the driver
+    sketch = F.percentile_approx("lead", cuts, F.lit(20 * RANGES))
     splitters = sample.agg(sketch.alias("s")).first()["s"] if cuts else []
-    splitters = np.array(splitters or [], np.int64)  # one number for each bucket
+    splitters = np.array(splitters or [], np.int64)
     shared = tokens.where("part >= 0").groupBy("part").applyInArrow(_shared_tokens, _ddl(_SHARED))
     by_block = blocks.groupBy("block")
-    contexts = by_block.cogroup(shared.groupBy("block")).applyInArrow(_contexts_of_block(width, splitters), _ddl(_CONTEXTS))
+    contexts = by_block.cogroup(shared.groupBy("block")).applyInArrow(_contexts_of_block(width, splitters, n_blocks), _ddl(_CONTEXTS))
     cut = contexts.groupBy("bucket").applyInArrow(_compare_bucket(width), _ddl(_CUTS))
     return by_block.cogroup(cut.groupBy("block")).applyInArrow(_cut_block(width, whole_characters), _ddl(_CLEAN))
 
@@ -449,10 +526,15 @@ def removed_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     removes nothing elsewhere. Rows with equal ids do not touch each other; repeated rows are returned
     each. Ids are integers. An empty table gives an empty result; other columns are ignored.
     """
-    clean = repeats_cut(docs, id_col, text_col, width).select(
+    name = f"suffix_blocks_{uuid.uuid4().hex}"
+    clean = _repeats_cut(docs, id_col, text_col, width, False, name).select(
         "sha", "first_id", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
     )
-    rows = _keyed(docs, id_col, text_col).drop("body").join(materialise(clean, "clean"), "sha", "left")
+    clean = materialise(clean, "clean")
+    spark = docs.sparkSession
+    spark.sql(f"DROP TABLE {name}")  # an external table: its files go by themselves
+    discard(spark, f"{ensure_checkpoint_dir(spark)}/{name}")
+    rows = _keyed(docs, id_col, text_col).drop("body").join(clean, "sha", "left")
     first, copy = F.col("id") == F.col("first_id"), F.col("id") > F.col("first_id")
     return rows.select(
         "id",

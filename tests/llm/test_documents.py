@@ -154,6 +154,40 @@ def test_removed_passages(messy, monkeypatch, block, part):
     assert ordered(collected(suffix.removed_passages(messy))) == ordered(passages(pairs(messy)))
 
 
+def test_removed_passages_with_hot_leading_tokens(spark, monkeypatch):
+    """A phrase that most documents share among other surroundings, copies in one document, a passage of all."""
+    monkeypatch.setattr(suffix, "BLOCK_BYTES", 2500)
+    rng = random.Random(9)
+    phrase, passage = "0 aaaa thank you for reading this! ", "all documents of this site hold this very passage, word for word. "
+    docs = []
+    for k in range(160):
+        body = "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(20, 60)))
+        docs.append((k * 3 % 160, body + phrase * rng.randint(1, 2) + rng.choice("xyz") * 20 + (passage if k % 2 else "") + body[:25]))
+    docs += [(200, "q" * 500), (201, "q" * 130), (7, passage), (202, passage + passage)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    tables = {t.name for t in spark.catalog.listTables()}
+    assert ordered(collected(suffix.removed_passages(frame))) == ordered(passages(docs))
+    assert {t.name for t in spark.catalog.listTables()} == tables
+
+
+@pytest.mark.parametrize("letters", [1, 2, 26])
+def test_multikey_quicksort_against_sets(letters):
+    rng = np.random.default_rng(letters)
+    buffer = rng.integers(97, 97 + letters, 4000).astype(np.uint8)
+    buffer[2000:2400] = buffer[100:500]
+    places = rng.permutation(3900)[:3000]
+    group = np.sort(rng.integers(0, 5, len(places)))
+    ids = rng.integers(0, 40, len(places))
+    least: dict = {}
+    keys = [(int(g), buffer[p : p + 50].tobytes()) for g, p in zip(group, places)]
+    for key, number in zip(keys, ids):
+        least[key] = min(int(number), least.get(key, int(number)))
+    got = suffix._least_by_window(buffer, places, group, ids, 50)
+    assert got.tolist() == [least[key] for key in keys]
+    none = np.empty(0, np.int64)
+    assert not len(suffix._least_by_window(buffer, none, none, none, 50))
+
+
 def test_cut_texts_are_whole_characters(messy):
     want = {r[0]: r[1] - r[2] for r in passages(pairs(messy)) if r[0] is not None}
     got = suffix.cut_texts(messy)
