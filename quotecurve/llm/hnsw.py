@@ -1,7 +1,8 @@
 """Near-duplicate embeddings by hierarchical navigable small-world graphs, one for each shard of a label.
 
-Each shard gets a graph, and a beam width at which an audit against brute force reaches the wanted recall.
-Every shard's vectors then query every shard of their label. A query whose beam is filled with links is
+Equal vectors of a label are one node with a count. Each shard gets a graph, and a beam width at which an
+audit against brute force reaches the wanted recall; the vectors of another shard that query it audit it
+again. Every shard's vectors query every shard of their label. A query whose beam is filled with links is
 asked again with a wider one, so large groups are found whole. Links are verified in double precision;
 a task hands on only link counts and the links of a spanning forest, never all pairs of a group.
 """
@@ -175,14 +176,15 @@ class Graph:
         rows, nodes = zip(*found, strict=True) if found else ((), ())
         return np.concatenate(rows or [np.empty(0, np.int64)]), np.concatenate(nodes or [np.empty(0, np.int64)])
 
-    def audited_beam(self, cosine: float) -> int:
-        """The least tried width at which an audit finds RECALL of the links, at most the whole shard."""
-        n, width = len(self.unit), BEAM
-        some = np.random.default_rng(n + 1).permutation(n)[:AUDITS]
-        truth = self.unit[some] @ self.unit.T >= cosine
+    def audited_beam(self, cosine: float, queries: np.ndarray, width: int = BEAM) -> int:
+        """The least width from `width` on at which an audit finds RECALL of the links, at most the whole shard."""
+        n = len(self.unit)
+        some = np.random.default_rng(n + 1).permutation(len(queries))[:AUDITS]
+        asked = queries[some].astype(np.float32)
+        truth = asked @ self.unit.T >= cosine
         want = int(truth.sum())
         while width < n:
-            row, node = self.within(self.unit[some], cosine, width)
+            row, node = self.within(asked, cosine, width)
             if truth[row, node].sum() >= RECALL * want:
                 break
             width *= 2
@@ -194,7 +196,7 @@ def _unit(table: np.ndarray) -> np.ndarray:
     return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
 
 
-_SHARDS = "label string, dim int, shard int, shards int, rows binary, vectors binary, layers array<binary>, entry int, beam int"
+_SHARDS = "label string, dim int, shard int, shards int, rows binary, counts binary, vectors binary, layers array<binary>, entry int, beam int"
 
 
 def _build_shard(cosine: float):
@@ -202,43 +204,45 @@ def _build_shard(cosine: float):
         label, dim, shard, shards = (table.column(c)[0].as_py() for c in ("label", "dim", "shard", "shards"))
         rows = table.column("row").to_numpy()
         order = np.argsort(rows)
+        counts = table.column("count").to_numpy()[order]
         flat = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False)
         unit = _unit(flat.reshape(len(rows), dim))[order]
         graph = Graph(unit)
-        values = [label, dim, shard, shards, rows[order].tobytes(), unit.tobytes(), [x.tobytes() for x in graph.layers], graph.entry, graph.audited_beam(cosine)]
-        kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.int32(), pa.int32())
+        beam = graph.audited_beam(cosine, unit)
+        values = [label, dim, shard, shards, rows[order].tobytes(), counts.tobytes(), unit.tobytes(), [x.tobytes() for x in graph.layers], graph.entry, beam]
+        kinds = (pa.string(), *[pa.int32()] * 3, *[pa.binary()] * 3, pa.list_(pa.binary()), pa.int32(), pa.int32())
         names = [part.split()[0] for part in _SHARDS.split(", ")]
         return pa.table([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names=names)
 
     return work
 
 
-def _opened(table: pa.Table, at: int) -> tuple[np.ndarray, np.ndarray, Graph, int]:
+def _opened(table: pa.Table, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, Graph, int]:
     row = {c: table.column(c)[at].as_py() for c in table.column_names}
     rows = np.frombuffer(row["rows"], np.int64)
     unit = np.frombuffer(row["vectors"], np.float64).reshape(len(rows), -1)
     layers = [np.frombuffer(x, np.int32).reshape(len(rows), -1) for x in row["layers"]]
-    return rows, unit, Graph(unit, layers, row["entry"]), row["beam"]
+    return rows, np.frombuffer(row["counts"], np.int64), unit, Graph(unit, layers, row["entry"]), row["beam"]
 
 
 def _compare_cell(cosine: float):
     def work(table: pa.Table) -> pa.Table:
         shards = [_opened(table, at) for at in range(len(table))]
         if len(shards) == 1:
-            rows, unit, graph, beam = shards[0]
+            rows, times, unit, graph, beam = shards[0]
             a, b = graph.within(unit, cosine, beam)
             a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
         else:
-            (rows_a, unit_a, graph_a, beam_a), (rows_b, unit_b, graph_b, beam_b) = shards
-            q, node = graph_b.within(unit_a, cosine, beam_b)
-            r, back = graph_a.within(unit_b, cosine, beam_a)
+            (rows_a, times_a, unit_a, graph_a, beam_a), (rows_b, times_b, unit_b, graph_b, beam_b) = shards
+            q, node = graph_b.within(unit_a, cosine, graph_b.audited_beam(cosine, unit_a, beam_b))
+            r, back = graph_a.within(unit_b, cosine, graph_a.audited_beam(cosine, unit_b, beam_a))
             a, b = np.append(q, back), np.append(node, r) + len(rows_a)
-            rows, unit = np.append(rows_a, rows_b), np.concatenate([unit_a, unit_b])
+            rows, times, unit = np.append(rows_a, rows_b), np.append(times_a, times_b), np.concatenate([unit_a, unit_b])
         pair = np.unique(a * len(rows) + b)
         a, b = pair // len(rows), pair % len(rows)
         real = np.concatenate([np.einsum("nd,nd->n", unit[a[s]], unit[b[s]]) >= cosine for s in _parts(len(a))] or [np.empty(0, bool)])
         a, b = a[real], b[real]
-        count = np.bincount(a, minlength=len(rows)) + np.bincount(b, minlength=len(rows))
+        count = (np.bincount(a, times[b], len(rows)) + np.bincount(b, times[a], len(rows))).astype(np.int64)
         root = _roots(len(rows), a, b)
         linked = np.flatnonzero(count)
         return pa.table(
@@ -284,14 +288,17 @@ def near_duplicates(
         )
         .withColumn("row", F.monotonically_increasing_id())
         .withColumn("dim", F.size("vector"))
-        .withColumn("fine", F.coalesce(F.col("label").isNotNull() & fine, F.lit(False))),
+        .withColumn("fine", F.coalesce(F.col("label").isNotNull() & fine, F.lit(False)))
+        .withColumn("equal", F.sha2(F.concat_ws("|", F.array_join("vector", ","), "label"), 256)),
         "vectors",
     )
-    used = base.where("fine")
+    same = base.where("fine").groupBy("equal").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("count"))
+    same = materialise(same, "nodes")
+    used = base.where("fine").join(same.select("row", "count"), "row")
     sizes = used.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("shards"))
     dealt = used.join(sizes, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("row"), F.col("shards")).cast("int"))
     graphs = materialise(
-        dealt.select("label", "dim", "shard", "shards", "row", "vector").groupBy("label", "dim", "shard").applyInArrow(_build_shard(cosine), _SHARDS),
+        dealt.select("label", "dim", "shard", "shards", "row", "count", "vector").groupBy("label", "dim", "shard").applyInArrow(_build_shard(cosine), _SHARDS),
         "graphs",
     )
     cells = graphs.withColumn("other", F.explode(F.expr("sequence(0, shards - 1)"))).withColumns(
@@ -300,16 +307,17 @@ def near_duplicates(
     found = materialise(
         cells.groupBy("label", "dim", "low", "high").applyInArrow(_compare_cell(cosine), "row long, root long, n long"), "neighbours"
     )
-    counts = found.groupBy("row").agg(F.sum("n").alias("n_links"))
+    counts = found.groupBy("row").agg(F.sum("n").alias("n"))
     roots = components(found.select(F.col("row").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("row"), "root")
-    named = base.select("row", "id").join(roots, "row", "left").withColumn("root", F.coalesce("root", "row"))
+    nodes = same.join(roots, "row", "left").join(counts, "row", "left")
+    nodes = nodes.select("equal", F.coalesce("root", "row").alias("root"), (F.coalesce("n", F.lit(0)) + F.col("count") - 1).alias("n_links"))
+    alone = base.where("not fine").select("id", F.col("row").alias("root"), F.lit(0).cast("long").alias("n_links"))
+    named = base.where("fine").join(nodes, "equal").select("id", "root", "n_links").union(alone)
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
     return (
-        named.join(least, "root")
-        .join(counts, "row", "left")
-        .select(
+        named.join(least, "root").select(
             "id",
-            F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+            F.col("n_links").cast("long").alias("n_links"),
             "component_id",
             F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"),
         )

@@ -57,6 +57,20 @@ def test_embeddings_against_brute_force(spark, shard):
     assert hnsw.near_duplicates(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shard", [4096, 8])
+def test_equal_vectors_are_one_node(spark, shard):
+    """Copies count as vectors of their own; a label of its own keeps them apart."""
+    rng = np.random.default_rng(4)
+    far, near = rng.normal(size=8), rng.normal(size=8)
+    rows = [(k, far.tolist(), "a") for k in range(50)] + [(50 + k, near.tolist(), "a") for k in range(40)]
+    rows += [(90, (near * 2).tolist(), "a"), (91, far.tolist(), "b"), (92, far.tolist(), None), (93, (near + 1e-3).tolist(), "a")]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = {r["id"]: tuple(r)[1:3] for r in hnsw.near_duplicates(frame, shard=shard).collect()}
+    assert all(got[k] == (49, 0) for k in range(50))
+    assert all(got[k] == (41, 50) for k in [*range(50, 91), 93])
+    assert got[91] == (0, 91) and got[92] == (0, 92)
+
+
 def test_large_groups_are_found_whole(spark):
     rng = np.random.default_rng(9)
     centre = rng.normal(size=32)
