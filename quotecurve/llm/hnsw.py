@@ -22,6 +22,7 @@ BEAM = 32  # first width tried
 AUDITS = 256  # queries of an audit
 RECALL = 0.99
 _BATCH = 512
+_WIDE = 8  # a beam of this part of a shard, or a larger one, reads the whole shard
 _EXPAND = 4  # beam members expanded in one step
 _NEAR = 1e-6  # slack of single precision before the check in double
 
@@ -159,6 +160,12 @@ class Graph:
         query = np.ascontiguousarray(query, np.float32)
         waiting, width, found = np.arange(len(query)), beam, []
         while len(waiting):
+            if width * _WIDE >= len(self.unit):  # so wide a beam is the shard itself
+                for at in range(0, len(waiting), _BATCH):
+                    part = waiting[at : at + _BATCH]
+                    row, node = np.nonzero(query[part] @ self.unit.T >= cosine - _NEAR)
+                    found.append((part[row], node))
+                break
             again = []
             step = max(16, _BATCH * BEAM // width)
             for at in range(0, len(waiting), step):
@@ -168,7 +175,7 @@ class Graph:
                     start = self._search(k, query[part], start, 4)[0]
                 ids, sims = self._search(0, query[part], start, min(width, len(self.unit)))
                 hit = sims >= cosine - _NEAR
-                full = hit.all(axis=1) & (width < len(self.unit))
+                full = hit.all(axis=1)
                 again.append(part[full])
                 row, column = np.nonzero(hit & ~full[:, None])
                 found.append((part[row], ids[row, column]))
@@ -240,7 +247,7 @@ def _compare_cell(cosine: float):
             rows, times, unit = np.append(rows_a, rows_b), np.append(times_a, times_b), np.concatenate([unit_a, unit_b])
         pair = np.unique(a * len(rows) + b)
         a, b = pair // len(rows), pair % len(rows)
-        real = np.concatenate([np.einsum("nd,nd->n", unit[a[s]], unit[b[s]]) >= cosine for s in _parts(len(a))] or [np.empty(0, bool)])
+        real = np.concatenate([_cosines(unit, a[s], b[s]) >= cosine for s in _parts(len(a))] or [np.empty(0, bool)])
         a, b = a[real], b[real]
         count = (np.bincount(a, times[b], len(rows)) + np.bincount(b, times[a], len(rows))).astype(np.int64)
         root = _roots(len(rows), a, b)
@@ -253,6 +260,14 @@ def _compare_cell(cosine: float):
     return work
 
 
+def _cosines(unit: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosine of each pair in double precision, `a` in order; rows with many partners by one product."""
+    low, high = int(a[0]), int(a[-1]) + 1
+    if (high - low) * len(unit) <= 8 * len(a):
+        return (unit[low:high] @ unit.T)[a - low, b]
+    return np.einsum("nd,nd->n", unit[a], unit[b])
+
+
 def _parts(n: int) -> list[slice]:
     return [slice(at, at + (1 << 16)) for at in range(0, n, 1 << 16)]
 

@@ -71,6 +71,22 @@ def test_equal_vectors_are_one_node(spark, shard):
     assert got[91] == (0, 91) and got[92] == (0, 92)
 
 
+def test_graph_finds_links_by_beams_and_by_whole_shards():
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(size=(150, 16)).repeat(12, axis=0) + rng.normal(size=(1800, 16)) * 0.12
+    vectors = np.concatenate([vectors, rng.normal(size=16) + rng.normal(size=(400, 16)) * 0.02])
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    graph = hnsw.Graph(unit)
+    assert graph.audited_beam(0.93, unit) * hnsw._WIDE < len(unit)
+    row, node = graph.within(unit, 0.93, hnsw.BEAM)
+    row, node = np.divmod(np.unique(row * len(unit) + node), len(unit))
+    real = hnsw._cosines(unit, row, node) >= 0.93
+    truth = unit @ unit.T >= 0.93
+    assert truth[row[real], node[real]].all() and real.sum() >= 0.99 * truth.sum()
+    assert truth[-400:, -400:].sum() == ((row >= 1800) & (node >= 1800) & real).sum()
+    assert np.allclose(hnsw._cosines(unit, row[:9], node[:9]), (unit[row[:9]] * unit[node[:9]]).sum(axis=1))
+
+
 def test_large_groups_are_found_whole(spark):
     rng = np.random.default_rng(9)
     centre = rng.normal(size=32)
