@@ -181,8 +181,7 @@ def score(spark, folder):
 
 @check("f11_positive_scores", "SELECT product, count(*) AS n FROM curve WHERE score > 0 GROUP BY product")
 def positive(spark, folder):
-    rows = ch.with_score(curve(spark, folder)).where(F.col("score") > 0)
-    return rows.groupBy("product").agg(F.count(F.lit(1)).alias("n"))
+    return ch.positive_scores(curve(spark, folder)).groupBy("product").agg(F.count(F.lit(1)).alias("n"))
 
 
 @check(
@@ -194,7 +193,7 @@ def mean_scores(spark, folder):
 
 
 def _points(spark, folder):
-    rows = ch.with_score(curve(spark, folder)).where((F.col("score") > 0) & (F.col("support_count") >= 4))
+    rows = ch.positive_scores(curve(spark, folder)).where(F.col("support_count") >= 4)
     return ch.price_means(rows)
 
 
@@ -282,8 +281,7 @@ def best_tiers(spark, folder):
 )
 def uncovered(spark, folder):
     rows = curve(spark, folder)
-    covered = rows.where(F.col("support_count") >= 40).select("product").distinct()
-    return rows.select("product").distinct().join(covered, "product", "left_anti")
+    return ch.not_covered(rows, rows.where(F.col("support_count") >= 40)).select("product").distinct()
 
 
 @check(
@@ -450,8 +448,8 @@ def opportunity(spark, folder):
     "SELECT product, round(revenue_p50 * 365.0::DOUBLE / 7, 4) AS yearly FROM best50",
 )
 def annualised(spark, folder):
-    rows = best(spark, folder)
-    return rounded(rows.select("product", (F.col("revenue_p50") * F.lit(365.0) / 7).alias("yearly")), yearly=4)
+    rows = best(spark, folder).select("product", rep.annual("revenue_p50", rep.ANNUAL_FACTOR / 7).alias("yearly"))
+    return rounded(rows, yearly=4)
 
 
 def product_prices(spark, folder):
@@ -631,7 +629,7 @@ def report_texts(spark, folder):
     f"""SELECT item_id, period_start, event_name, round(cents / 100.0::DOUBLE * (1 - deal_discount_percent / 100.0::DOUBLE) * shipped_units, 5) AS scaled FROM thick""",
 )
 def discounted(spark, folder):
-    scaled = F.col("price").cast("double") * (F.lit(1) - F.col("deal_discount_percent") / 100.0) * F.col("shipped_units")
+    scaled = rep.discounted_revenue(F.col("price").cast("double"), F.col("shipped_units"), F.col("deal_discount_percent"))
     return rounded(
         thick_rows(spark, folder).select("item_id", "period_start", "event_name", scaled.alias("scaled")), scaled=5
     )

@@ -81,10 +81,7 @@ WHERE approval_status IN ('Approved', 'Scheduled')
 )
 def membership(spark, folder):
     rows = retail.promotions(spark, folder)
-    kept = rows.where(
-        F.col("approval_status").isin(*promo.APPROVAL_STATES) & F.col("promotion_type").isin(*promo.PROMOTION_TYPES)
-    )
-    return kept.groupBy("approval_status", "promotion_type").agg(F.count(F.lit(1)).alias("n"))
+    return rows.where(promo.counts_as_promotion()).groupBy("approval_status", "promotion_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @check(
@@ -219,11 +216,7 @@ def leading_promotion_by_year(spark, folder):
 GROUP BY ALL HAVING count(*) >= 3""",
 )
 def event_date_frequency(spark, folder):
-    details = _calendar(spark, folder)[2]
-    counts = details.groupBy("event_name", "event_year", "promo_start", "promo_end").agg(
-        F.count(F.lit(1)).alias("frequency")
-    )
-    return counts.where(F.col("frequency") >= promo.MIN_STANDARD_FREQUENCY)
+    return promo.event_date_frequency(_calendar(spark, folder)[2]).drop(*promo.SCOPE_KEYS)
 
 
 @check("w02_event_standards", "SELECT * FROM x_usual")

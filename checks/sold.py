@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quotecurve.functions import numeric, text
 from quotecurve.operators import elasticity as ela
 from quotecurve.operators import prepare as prep
-from quotecurve.operators.ranks import percentile_ranks
+from quotecurve.operators.ranks import percentile_ranks, quantiles
 from quotecurve.operators.report import slice_rows
 from quotecurve.plans.extract import sales_input
 from quotecurve.session import materialise
@@ -248,10 +248,7 @@ def daily_sales(spark, folder):
     "SELECT product, arg_min(deal_discount_percent, (order_date, deal_discount_percent)) AS first_discount FROM labelled GROUP BY product",
 )
 def first_discount(spark, folder):
-    known = F.struct("order_date", "deal_discount_percent")
-    return labelled(spark, folder).groupBy("product").agg(
-        F.min_by("deal_discount_percent", known).alias("first_discount")
-    )
+    return labelled(spark, folder).groupBy("product").agg(prep.first_discount().alias("first_discount"))
 
 
 @check(
@@ -378,8 +375,7 @@ def medians(spark, folder):
     spots = thick_rows(spark, folder).groupBy("product", to_cents(F.col("price")).alias("cents")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    cut = F.percentile(F.col("cents").cast("double"), [0.5, 0.05, 0.95], F.col("n"))
-    cuts = spots.groupBy("product").agg(cut.alias("q"))
+    cuts = quantiles(spots, "cents", "n", [0.5, 0.05, 0.95], ("product",)).withColumnRenamed("cuts", "q")
     return cuts.select(
         "product",
         F.round(F.col("q")[0], 6).alias("median"),

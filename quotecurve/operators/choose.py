@@ -57,6 +57,16 @@ def with_score(curve: DataFrame) -> DataFrame:
     return curve.withColumn("score", F.coalesce(score, F.lit(0.0)))
 
 
+def positive_scores(curve: DataFrame) -> DataFrame:
+    """The scored curve without rows that earn nothing."""
+    return with_score(curve).where(F.col("score") > 0)
+
+
+def not_covered(rows: DataFrame, covered: DataFrame, by: str = "product") -> DataFrame:
+    """Rows of the groups that `covered` has no row of."""
+    return rows.join(covered.select(by).distinct(), by, "left_anti")
+
+
 def best_row(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     """First row of each group in the given order, then in row order.
 
@@ -126,19 +136,18 @@ def choose_prices(
     A product without a sufficiently supported price falls back to its most supported row.
     Windows run over the price points of a product, never over its rows.
     """
-    scored = with_score(curve).where(F.col("score") > 0)
+    scored = positive_scores(curve)
     supported = price_means(scored.where(F.col("support_count") >= min_support))
     price = frontier_price(frontier(stable_points(supported)), max_drop=max_drop)
     # first down to the few rows that can win, then one row for each product
     at_price = scored.join(price, ["product", "price"], "left_semi")
     picked = best_row(at_price, ["product"], [-F.col("revenue_p50")])
-    uncovered = scored.join(price.select("product"), "product", "left_anti")
-    return picked.unionByName(best_row(uncovered, ["product"], [-F.col("support_count")]))
+    return picked.unionByName(best_row(not_covered(scored, price), ["product"], [-F.col("support_count")]))
 
 
 def highest_score(curve: DataFrame) -> DataFrame:
     """Row with the highest positive score of each product."""
-    return pick_best(with_score(curve).where(F.col("score") > 0), "product", "score")
+    return pick_best(positive_scores(curve), "product", "score")
 
 
 BEST_COLUMNS = ["product", "item_id", "price", "asp", "units_p50", "revenue_p50", "support_count"]
@@ -155,8 +164,7 @@ def best_expected_by_tiers(curve: DataFrame, min_support: int = BEST_MIN_SUPPORT
     """The same choice as two tiers: supported products, then the products not yet covered."""
     known = curve.where(F.col("revenue_p50").isNotNull())
     high = best_row(known.where(F.col("support_count") >= min_support), ["product"], [-F.col("revenue_p50")])
-    rest = known.join(high.select("product"), "product", "left_anti")
-    low = best_row(rest, ["product"], [-F.col("revenue_p50")])
+    low = best_row(not_covered(known, high), ["product"], [-F.col("revenue_p50")])
     return high.unionByName(low).select(*BEST_COLUMNS)
 
 

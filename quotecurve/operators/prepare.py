@@ -1,6 +1,6 @@
 """Sales to period rows: product labels, roll-up, top products, label codes."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import period_columns
@@ -59,13 +59,22 @@ def with_days_at_price(sales: DataFrame) -> DataFrame:
     return sales.join(days_at_price(sales), ["item_id", "price"], "inner")
 
 
+def first_discount() -> Column:
+    """The first known discount of a group by date, the lowest on equal dates.
+
+    Date and discount are packed in one number, so the grouping stays a hash aggregate.
+    """
+    discount = F.col("deal_discount_percent")
+    packed = F.unix_date("order_date").cast("bigint") * F.lit(10**10) + F.round(discount * 10**6).cast("bigint")
+    return F.min_by(discount, packed)
+
+
 def roll_up(sales: DataFrame, granularity: str = "weekly") -> DataFrame:
     """Units, revenue and average selling price by item, product, event and period.
 
     Rows without a key are left out. `price` is revenue over units, to the cent, and 0 for
-    a period without units. The discount is the first known one by date, the lowest on
-    equal dates; date and discount are packed in one number so the grouping stays a hash
-    aggregate. The current price is one for each item.
+    a period without units. The discount is the first known one. The current price is one
+    for each item.
     """
     periods = period_columns(F.col("order_date"), granularity)
     period_keys = [k for k in periods if k != "period_start"]
@@ -77,14 +86,11 @@ def roll_up(sales: DataFrame, granularity: str = "weekly") -> DataFrame:
         & F.col("order_date").isNotNull()
     ).withColumns(periods)
 
-    discount = F.col("deal_discount_percent")
-    packed = F.unix_date("order_date").cast("bigint") * F.lit(10**10) + F.round(discount * 10**6).cast("bigint")
-
     rolled = rows.groupBy(*keys).agg(
         F.min("period_start").alias("period_start"),
         F.sum("shipped_units").alias("shipped_units"),
         F.sum(F.col("shipped_units") * to_cents(F.col("price"))).alias("revenue_cents"),
-        F.min_by("deal_discount_percent", packed).alias("deal_discount_percent"),
+        first_discount().alias("deal_discount_percent"),
         F.min("current_price").alias("current_price"),
     )
     average = F.coalesce(divide_half_up(F.col("revenue_cents"), F.col("shipped_units")), F.lit(0))

@@ -1,6 +1,6 @@
 """Promotions: base filter, event class, one promotion for each item, standard event dates."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.events import NO_PROMOTION, event_class, event_priority, not_clearance
@@ -16,6 +16,11 @@ PROMO_KEYS = ["promotion_key", "region_id", "market_id"]
 SCOPE_KEYS = ["region_id", "market_id", "product_group"]
 
 
+def counts_as_promotion() -> Column:
+    """Whether state and deal type are those of a promotion that was run."""
+    return F.col("approval_status").isin(*APPROVAL_STATES) & F.col("promotion_type").isin(*PROMOTION_TYPES)
+
+
 def filter_promotions(promotions: DataFrame, scope: Scope) -> DataFrame:
     """Promotions that start in the window (both days included) with a usable state, type and title.
 
@@ -26,8 +31,7 @@ def filter_promotions(promotions: DataFrame, scope: Scope) -> DataFrame:
         & (F.col("market_id") == scope.market_id)
         & (F.col("start_ts") >= scope.window_start)
         & (F.col("start_ts") < F.date_add(scope.window_end, 1))
-        & F.col("approval_status").isin(*APPROVAL_STATES)
-        & F.col("promotion_type").isin(*PROMOTION_TYPES)
+        & counts_as_promotion()
         & not_clearance(F.col("title"))
     )
 
@@ -93,23 +97,25 @@ def promotion_details(events: DataFrame, by_year: bool = False) -> DataFrame:
     )
 
 
+def event_date_frequency(details: DataFrame, min_frequency: int = MIN_STANDARD_FREQUENCY) -> DataFrame:
+    """How many promoted items share the dates of an event and year, if that is often enough."""
+    counts = details.groupBy(*SCOPE_KEYS, "event_name", "event_year", "promo_start", "promo_end").agg(F.count(F.lit(1)).alias("frequency"))
+    return counts.where(F.col("frequency") >= min_frequency)
+
+
 def event_standards(details: DataFrame, min_frequency: int = MIN_STANDARD_FREQUENCY) -> DataFrame:
     """The most used dates of each event and year, if used often enough.
 
     Ties go to the earlier start, then the earlier end, then the lower scope keys.
     """
     dates = ["promo_start", "promo_end"]
-    counts = (
-        details.where(F.col("event_name") != NO_PROMOTION)
-        .groupBy(*SCOPE_KEYS, "event_name", "event_year", *dates)
-        .agg(F.count(F.lit(1)).alias("frequency"))
-    )
+    counts = event_date_frequency(details.where(F.col("event_name") != NO_PROMOTION), min_frequency)
     best = counts.groupBy("event_name", "event_year").agg(
         F.min_by(
             F.struct(*SCOPE_KEYS, *dates, "frequency"), F.struct(-F.col("frequency"), *dates, *SCOPE_KEYS)
         ).alias("best")
     )
-    return best.select("event_name", "event_year", "best.*").where(F.col("frequency") >= min_frequency)
+    return best.select("event_name", "event_year", "best.*")
 
 
 def consolidated_promotions(details: DataFrame, standards: DataFrame) -> DataFrame:

@@ -121,6 +121,11 @@ def curve_in_price_order(curve: DataFrame, price: str = "asp", by: str = "produc
     return met.drop("_g", "_p").orderBy(by, F.col(price).asc_nulls_last())
 
 
+def discounted_revenue(price: Column, units: Column, percent: Column) -> Column:
+    """Revenue of units sold at a price less a discount in percent."""
+    return price * (F.lit(1.0) - percent / 100.0) * units
+
+
 def with_actuals(curve: DataFrame, periods: DataFrame, fan_out: bool = False) -> DataFrame:
     """Actual revenue on the curve rows.
 
@@ -151,7 +156,7 @@ def with_actuals(curve: DataFrame, periods: DataFrame, fan_out: bool = False) ->
             "revenue_actual": revenue,
             "deal_discount_percent": discount,
             "daily_rev": revenue,
-            "actual_revenue_scaled": F.col("price") * (F.lit(1.0) - discount / 100.0) * F.col("units_actual"),
+            "actual_revenue_scaled": discounted_revenue(F.col("price"), F.col("units_actual"), discount),
         }
     )
 
@@ -224,7 +229,8 @@ def common_products(*frames: DataFrame) -> DataFrame:
     return out
 
 
-def _annual(c: str, factor: float) -> Column:
+def annual(c: str, factor: float = ANNUAL_FACTOR) -> Column:
+    """A column of one period for a whole year, as `<name>_annual`."""
     return (F.col(c) * F.lit(float(factor))).alias(f"{c}_annual")
 
 
@@ -250,7 +256,7 @@ def opportunity_summary(
         (F.col("revenue_p50") - F.col("revenue_curr")).alias("delta_revenue"),
     )
     return rows.select(
-        "*", *[_annual(c, annual_factor) for c in ("delta_units", "delta_revenue", "revenue_best")]
+        "*", *[annual(c, annual_factor) for c in ("delta_units", "delta_revenue", "revenue_best")]
     )
 
 
