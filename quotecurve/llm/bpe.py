@@ -14,6 +14,8 @@ from quotecurve.llm.common import text_bytes
 VOCABULARY = "byte_bpe_50k.json"
 CACHE = 200_000  # words a worker remembers before it starts anew; only speed depends on it
 _ROWS = 256
+# options of a vocabulary under which texts would be encoded otherwise
+_ODD = ("dropout", "ignore_merges", "byte_fallback", "continuing_subword_prefix", "end_of_word_suffix")
 # How byte-level vocabularies split text before merging (fixed).
 _SPLIT = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
@@ -87,9 +89,11 @@ class Bpe:
         with open(path, encoding="utf-8") as file:
             data = json.load(file)
         model, added = data["model"], data["added_tokens"]
-        plain = data["normalizer"] is None and data["pre_tokenizer"]["type"] == "ByteLevel"
-        if model["type"] != "BPE" or not plain or any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added):
-            raise ValueError(f"{path} is not a plain byte-level BPE vocabulary")
+        split = data["pre_tokenizer"] or {}
+        plain = data["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+        odd = [name for name in _ODD if model.get(name)] + [name for t in added for name in ("lstrip", "rstrip", "single_word") if t[name]]
+        if model["type"] != "BPE" or not plain or odd:
+            raise ValueError(f"{path} is not a plain byte-level BPE vocabulary {odd or ''}".rstrip())
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         return cls(model["vocab"], merges, {t["content"]: t["id"] for t in added})
 

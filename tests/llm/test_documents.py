@@ -1,12 +1,14 @@
 """Operators over documents against brute force, on rows with every oddity."""
 
 import hashlib
+import json
 import math
 import random
 import re
 import struct
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -430,6 +432,26 @@ def test_bpe_equals_the_public_library(messy):
         assert model.decode(ids).decode() == library.decode(coded.ids, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize(
+    "place,option,value",
+    [("model", "dropout", 0.1), ("model", "ignore_merges", True), ("model", "end_of_word_suffix", "</w>"), ("model", "continuing_subword_prefix", "##"),
+     ("pre_tokenizer", "add_prefix_space", True), ("pre_tokenizer", "use_regex", False), ("pre_tokenizer", "type", "Whitespace")],
+)
+def test_vocabularies_of_another_kind_are_refused(tmp_path, place, option, value):
+    told = json.loads(Path(bpe.default_vocabulary()).read_text(encoding="utf-8"))
+    told["model"] |= {"vocab": {}, "merges": []}
+    told[place][option] = value
+    file = tmp_path / "vocabulary.json"
+    file.write_text(json.dumps(told), encoding="utf-8")
+    with pytest.raises(ValueError, match="plain byte-level"):
+        bpe.Bpe.read(str(file))
+
+
+def test_null_ids_decode_to_empty_texts(spark):
+    rows = spark.createDataFrame([(1, None), (2, bytearray()), (None, None)], "id long, ids binary")
+    assert ordered((r["id"], r["text"]) for r in bpe.decode(rows).collect()) == [(None, ""), (1, ""), (2, "")]
+
+
 def test_bpe_round_trip(messy):
     back = bpe.decode(bpe.encode(messy))
     assert ordered((r["id"], r["text"]) for r in back.collect()) == ordered((d, t or "") for d, t in pairs(messy))
