@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quotecurve.operators import curve as crv
 from quotecurve.operators import ranks, resample, shape
 from quotecurve.operators import tuning as tun
+from quotecurve.operators.joins import salted_join
 
 ROWS = "product string, item_id string, period_start date, price double, shipped_units double, event_code int, weight double"
 
@@ -177,3 +178,21 @@ def test_quantiles_of_a_group_that_owns_most_rows(spark):
     whole = np.repeat([x[1] for x in rows], [x[2] for x in rows])
     assert ranks.quantiles(frame, "v", "n", shares).first()["cuts"] == pytest.approx(list(np.quantile(whole, shares)), rel=1e-12)
     assert ranks.quantiles(frame.limit(0), "v", "n", shares, ("g",)).count() == 0
+
+
+def test_salted_copies_of_a_large_lookup_are_not_broadcast(spark, tmp_path, capsys):
+    def joined(n):
+        path = str(tmp_path / f"lookup{n}")
+        spark.range(n).select(F.col("id").alias("k"), (F.col("id") * 3).alias("v")).write.parquet(path)
+        rows = spark.range(40).select((F.col("id") % 5).alias("k"), F.col("id").alias("r"))
+        return salted_join(rows, spark.read.parquet(path), on=["k"], spread_by=["r"])
+
+    def broadcasts(df):
+        df.explain()
+        return "BroadcastHashJoin" in capsys.readouterr().out
+
+    # half a million rows are a few MB as a file; sixteen copies of them would not fit a driver
+    large, small = joined(500_000), joined(3)
+    assert not broadcasts(large) and broadcasts(small)
+    assert sorted((r["r"], r["v"]) for r in large.collect()) == [(r, r % 5 * 3) for r in range(40)]
+    assert sorted(r["r"] for r in small.where("v IS NULL").collect()) == [r for r in range(40) if r % 5 > 2]
