@@ -128,6 +128,20 @@ def test_frequent_lines_deplete_documents(spark):
     assert quality.keep_good(docs, max_docs=5, max_share=0.1).count() == 70
 
 
+def test_frequent_lines_leave_the_texts(spark):
+    body = [" ".join(f"w{i}x{k}" for k in range(60)) for i in range(12)]
+    rows = [(i if i else None, f"Read  MORE here\n\n{b}\n read more\there\nend{i}", "h", i) for i, b in enumerate(body)]
+    rows += [(3, rows[3][1], "h", 103), (3, rows[3][1], "other", 203), (3, rows[3][1], None, 303)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n long")
+    limits = {"max_docs": 5, "max_share": 0.1}
+    named = {(r["id"], len(r["removed_lines"]), r["n_removed_words"]) for r in quality.assess(docs, **limits).collect()}
+    assert named == {(i or None, 1, 6) for i in range(12)} | {(3, 0, 0)}
+    got = quality.keep_good(docs, **limits)
+    assert got.columns == docs.columns
+    want = [(d, f"\n{body[n % 100]}\nend{n % 100}" if h == "h" else t, h, n) for d, t, h, n in rows]
+    assert sorted(collected(got), key=lambda r: r[3]) == want
+
+
 # ---------------------------------------------------------------- suffixes
 
 
