@@ -18,7 +18,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are not depleted, without their host's frequent lines."""
-    return _counted(quality.keep_good(docs))
+    return quality.keep_good(docs, length_col="n_chars")
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quotecurve.llm import bpe, ctw, mixing, quality, sharding, simhash, suffix, toxicity
@@ -138,6 +139,9 @@ def test_frequent_lines_leave_the_texts(spark):
     assert named == {(i or None, 1, 6) for i in range(12)} | {(3, 0, 0)}
     got = quality.keep_good(docs, **limits)
     assert got.columns == docs.columns
+    sizes = docs.withColumn("n_chars", F.when(F.col("source") == "h", F.lit(0).cast("long")))
+    counted = collected(quality.keep_good(sizes, length_col="n_chars", **limits).select("source", "n_chars", F.length("text")))
+    assert len(counted) == 15 and all(n == (length if h == "h" else None) for h, n, length in counted)
     want = [(d, f"\n{body[n % 100]}\nend{n % 100}" if h == "h" else t, h, n) for d, t, h, n in rows]
     assert sorted(collected(got), key=lambda r: r[3]) == want
 
