@@ -161,3 +161,24 @@ def test_hot_item_gives_the_same_sums(spark, share):
         ) if inside else 0
         want += max(copies, 1)
     assert sum(r[4] for r in got) == want
+
+
+def test_windows_and_terms_of_items_are_not_broadcast(spark, tmp_path, capsys):
+    # a row or more for each item: small as a file, but not as rows in a driver
+    stamp, day = F.lit("2024-07-01").cast("timestamp_ntz"), F.lit("2024-07-01").cast("date")
+    items = spark.range(20_000).select(F.format_string("item%d", "id").alias("item_id"), F.lit("PRIME DAY").alias("event_name"))
+    paths = [str(tmp_path / name) for name in ("windows", "offers")]
+    items.withColumns({"promo_start": day, "promo_end": F.date_add(day, 6)}).write.parquet(paths[0])
+    offers = {"start_ts": stamp, "end_ts": stamp, "promo_price": F.lit(Decimal("1.50")), "discount_percent": F.lit(8.0)}
+    items.drop("event_name").withColumns(offers).write.parquet(paths[1])
+    sales = spark.createDataFrame(
+        [("item7", "n", date(2024, 7, 1), Decimal("1.50"), 2), ("item8", "n", date(2024, 8, 1), Decimal("1.50"), 3), ("none", "n", date(2024, 7, 1), Decimal("1.50"), 4)],
+        "item_id string, item_name string, order_date date, price decimal(18,2), shipped_units bigint",
+    )
+    windowed = att.in_event_window(sales, spark.read.parquet(paths[0]))
+    priced = att.with_promo_price(windowed, spark.read.parquet(paths[1]))
+    for joined in (windowed, priced):
+        joined.explain()
+        assert "BroadcastHashJoin" not in capsys.readouterr().out
+    rows = {(r["item_id"], r["window_event"], r["promo_price"], r["shipped_units"] * r["copies"]) for r in priced.collect()}
+    assert rows == {("item7", "PRIME DAY", Decimal("1.50"), 2), ("item8", None, None, 3), ("none", None, None, 4)}
