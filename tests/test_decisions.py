@@ -50,6 +50,19 @@ def test_robust_slope_ignores_promotion_spikes(spark):
     assert again.robust_slope == pytest.approx(robust.robust_slope, abs=1e-9)
 
 
+def test_points_of_the_robust_slope_are_not_broadcast(spark, capsys):
+    df = spark.range(2000).selectExpr(
+        "concat('p', id % 2) AS product", "cast(id AS string) AS item_id", "'BAU' AS event_name", "1 AS month",
+        "date_add(date'2024-01-01', int(id % 300)) AS period_start", "1 + id % 37 AS price", "1000 - 20 * (id % 37) AS shipped_units",
+    )
+    slopes = ela.robust_slopes(df)
+    slopes.explain()
+    plan = capsys.readouterr().out.splitlines()
+    # many rows, but a small file: neither join of the points with a salted lookup may send them to the driver
+    assert not [x for x in plan if "BroadcastHashJoin" in x and "_salt" in x]
+    assert sorted(r["product"] for r in slopes.collect()) == ["p0", "p1"]
+
+
 def test_tied_magnitudes_share_a_rank(spark):
     slopes = spark.createDataFrame([("a", -2.0), ("b", 2.0), ("c", -0.5)], "product string, ratio double")
     got = {r["product"]: r for r in ela.label_slopes(slopes).collect()}
